@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, urls
+from . import mixing, packing, sharding, tokens, urls
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
     "op3_url_filter": urls.op3_url_filter,
     "op7_mix": mixing.op7_mix,
+    "op9_tokens": tokens.op9_tokens,
     "op10_shard": sharding.op10_shard,
 }
 SQL = {"op3_url_filter": urls.SQL, "op7_mix": mixing.SQL}
