@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, tokens, urls
+from . import dedup, mixing, packing, sharding, tokens, urls
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_exact_dedup": dedup.op4_exact_dedup,
     "op7_mix": mixing.op7_mix,
     "op9_tokens": tokens.op9_tokens,
     "op10_shard": sharding.op10_shard,
 }
-SQL = {"op3_url_filter": urls.SQL, "op7_mix": mixing.SQL}
+SQL = {"op3_url_filter": urls.SQL, "op4_exact_dedup": dedup.SQL, "op7_mix": mixing.SQL}
