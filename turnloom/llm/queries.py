@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, packing, sharding, tokens, urls
+from . import dedup, mixing, packing, sharding, tokens, topk, urls
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_pack": packing.op2_pack,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": dedup.op4_exact_dedup,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
     "op10_shard": sharding.op10_shard,
 }
-SQL = {"op3_url_filter": urls.SQL, "op4_exact_dedup": dedup.SQL, "op7_mix": mixing.SQL}
+SQL = {"op1_topk": topk.SQL, "op3_url_filter": urls.SQL, "op4_exact_dedup": dedup.SQL, "op7_mix": mixing.SQL}
