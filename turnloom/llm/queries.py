@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, packing, sharding, tokens, topk, urls
+from . import dedup, mixing, packing, quality, sharding, tokens, topk, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": dedup.op4_exact_dedup,
     "op7_mix": mixing.op7_mix,
+    "op8_quality": quality.op8_quality,
     "op9_tokens": tokens.op9_tokens,
     "op10_shard": sharding.op10_shard,
 }
