@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, neardup, packing, quality, sharding, tokens, topk, urls
+from . import dedup, mixing, neardup, packing, pii, quality, sharding, tokens, topk, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_pack": packing.op2_pack,
     "op3_url_filter": urls.op3_url_filter,
     "op4_exact_dedup": dedup.op4_exact_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_near_dedup": neardup.op6_near_dedup,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
