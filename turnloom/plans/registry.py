@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.plans import report, structure, text
+from turnloom.plans import budget, metrics, report, structure, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (report, structure, text):
+for module in (report, structure, text, budget, metrics):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
