@@ -27,7 +27,7 @@ def head_units(text: Column, n: int) -> Column:
 
 
 def _cut(text: Column, n: int) -> Column:
-    chars = F.split(F.substring(text, 1, n), "(?!^)")
+    chars = F.regexp_extract_all(F.substring(text, 1, n), F.lit("(?s)."), F.lit(0))
     step = F.aggregate(
         chars,
         F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("full")),
@@ -86,9 +86,9 @@ def content_words(text: Column, stop: list[str]) -> Column:
 
 
 def explicit_ids(text: Column) -> Column:
-    """Upper-case dashed codes that hold a digit."""
-    codes = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_-])[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+(?![\p{L}\p{N}_-])"), F.lit(0))
-    return F.array_distinct(F.filter(codes, lambda c: c.rlike("[0-9]")))
+    """Upper-case dashed codes whose last segment holds a digit, between characters that are no letters or digits."""
+    code = r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?:-[A-Z0-9]+)*-[A-Z]*[0-9][A-Z0-9]*(?![\p{L}\p{N}_])"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(code), F.lit(0)))
 
 
 def grouped(n: Column) -> Column:

@@ -5,12 +5,22 @@ The log has one row per message, keyed by session_id and ordered by idx.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SESSION = Window.partitionBy("session_id").orderBy("idx")
-UP_TO = SESSION.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("session_id")
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("idx")
+
+
+def up_to() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("session_id")
+
 
 #: Fixed value: a prior summary starts with it.
 SUMMARY_HEADER = "The following is a summary of your previous actions (long observations omitted):"
@@ -30,8 +40,8 @@ def is_prior_summary(role: Column, content: Column) -> Column:
 
 def head_end(log: DataFrame) -> DataFrame:
     """session_id, n, h: the first assistant (or n), less the prior summaries right before it."""
-    first = F.min(F.when(F.col("role") == "assistant", F.col("idx"))).over(WHOLE)
-    marked = log.withColumns({"n": F.count(F.lit(1)).over(WHOLE), "a": first}).withColumn("a", F.coalesce("a", F.col("n")).cast("int"))
+    first = F.min(F.when(F.col("role") == "assistant", F.col("idx"))).over(whole())
+    marked = log.withColumns({"n": F.count(F.lit(1)).over(whole()), "a": first}).withColumn("a", F.coalesce("a", F.col("n")).cast("int"))
     # the last message of the head that is no summary ends it
     solid = F.max(F.when((F.col("idx") < F.col("a")) & ~is_prior_summary(F.col("role"), F.col("content")), F.col("idx") + 1))
     return marked.groupBy("session_id").agg(F.first("n").cast("long").alias("n"), F.coalesce(solid, F.lit(0)).cast("int").alias("h"))
@@ -45,7 +55,7 @@ def units(log: DataFrame) -> DataFrame:
     """One row per unit behind the head: session_id, unit (from 1), start, stop (exclusive), kind."""
     body = with_head(log).where("idx >= h")
     opens = starts_unit(F.col("role")) | (F.col("idx") == F.col("h"))
-    numbered = body.withColumn("unit", F.sum(opens.cast("int")).over(UP_TO))
+    numbered = body.withColumn("unit", F.sum(opens.cast("int")).over(up_to()))
     kind = F.when(F.col("role") == "assistant", "assistant").when(starts_unit(F.col("role")), "user").otherwise("other")
     return numbered.groupBy("session_id", "unit").agg(
         F.min("idx").alias("start"), (F.max("idx") + 1).alias("stop"), F.min_by(kind, "idx").alias("kind")
@@ -63,7 +73,7 @@ def kept_start(log: DataFrame, keep: int) -> DataFrame:
 
 def boundaries(log: DataFrame) -> DataFrame:
     """session_id, b: where an assistant follows another role, and the end."""
-    turn = log.withColumn("before", F.lag("role").over(SESSION)).where("idx > 0 and role = 'assistant' and before <> 'assistant'")
+    turn = log.withColumn("before", F.lag("role").over(in_order())).where("idx > 0 and role = 'assistant' and before <> 'assistant'")
     end = log.groupBy("session_id").agg((F.max("idx") + 1).alias("b"))
     return turn.select("session_id", F.col("idx").alias("b")).unionByName(end)
 
@@ -80,7 +90,7 @@ def call_for(log: DataFrame) -> DataFrame:
     A backward as-of join made of an equi-join on (session, segment, id), where a segment ends at each message of a user,
     system or developer.
     """
-    closed = F.sum(F.col("role").isin("user", "system", "developer").cast("int")).over(UP_TO)
+    closed = F.sum(F.col("role").isin("user", "system", "developer").cast("int")).over(up_to())
     seg = log.withColumn("segment", closed)
     made = calls(seg.withColumn("x", F.lit(0))).dropDuplicates(["session_id", "idx", "id"])
     made = made.join(seg.select("session_id", "idx", "segment"), ["session_id", "idx"])
@@ -93,7 +103,7 @@ def call_for(log: DataFrame) -> DataFrame:
 
 def pairing_defects(log: DataFrame) -> DataFrame:
     """session_id, kind, id, n: the multiset of orphan, dup and unanswered ids; only role tool answers."""
-    seg = log.withColumn("segment", F.sum((F.col("role") != "tool").cast("int")).over(UP_TO))
+    seg = log.withColumn("segment", F.sum((F.col("role") != "tool").cast("int")).over(up_to()))
     last = seg.groupBy("session_id").agg(F.max("segment").alias("last"))
     asked = calls(seg).join(seg.select("session_id", "idx", "segment"), ["session_id", "idx"]).select("session_id", "segment", "id", F.lit(1).alias("c"), F.lit(0).alias("a"))
     given = seg.where("role = 'tool'").select("session_id", "segment", F.col("call_id").alias("id"), F.lit(0).alias("c"), F.lit(1).alias("a"))
@@ -109,7 +119,7 @@ def pairing_defects(log: DataFrame) -> DataFrame:
 
 def strict_defects(log: DataFrame) -> DataFrame:
     """session_id, idx, k, wanted, got where the k-th result behind an assistant is not the answer to its k-th call."""
-    seg = log.withColumn("at", F.max(F.when(F.col("role") != "tool", F.col("idx"))).over(UP_TO))
+    seg = log.withColumn("at", F.max(F.when(F.col("role") != "tool", F.col("idx"))).over(up_to()))
     asked = calls(log).select("session_id", F.col("idx").alias("at"), F.col("pos").alias("k"), F.col("id").alias("wanted"))
     k = F.row_number().over(Window.partitionBy("session_id", "at").orderBy("idx")) - 1
     given = seg.where("role = 'tool'").select("session_id", "at", k.alias("k"), F.col("call_id").alias("got"))
@@ -119,7 +129,7 @@ def strict_defects(log: DataFrame) -> DataFrame:
 
 def tool_runs(log: DataFrame) -> DataFrame:
     """Tool messages with flags for the first and last of a run."""
-    flagged = log.withColumns({"prev": F.lag("role").over(SESSION), "next": F.lead("role").over(SESSION)}).where("role = 'tool'")
+    flagged = log.withColumns({"prev": F.lag("role").over(in_order()), "next": F.lead("role").over(in_order())}).where("role = 'tool'")
     return flagged.select(
         "session_id", "idx", (~F.col("prev").eqNullSafe(F.lit("tool"))).alias("first"), (~F.col("next").eqNullSafe(F.lit("tool"))).alias("last")
     )
@@ -127,9 +137,9 @@ def tool_runs(log: DataFrame) -> DataFrame:
 
 def superseded_snapshots(log: DataFrame) -> DataFrame:
     """Snapshot results older than the last unit that holds one."""
-    numbered = log.withColumn("unit", F.sum(starts_unit(F.col("role")).cast("int")).over(UP_TO))
+    numbered = log.withColumn("unit", F.sum(starts_unit(F.col("role")).cast("int")).over(up_to()))
     shots = numbered.where("role = 'tool' and tool_name = 'browser_snapshot'")
-    return shots.withColumn("newest", F.max("unit").over(WHOLE)).where("unit < newest").select("session_id", "idx")
+    return shots.withColumn("newest", F.max("unit").over(whole())).where("unit < newest").select("session_id", "idx")
 
 
 def cut_walk(log: DataFrame, size: Column, limit: int) -> DataFrame:

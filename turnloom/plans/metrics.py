@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from turnloom.sources.requests import UPSTREAM_SQL
 from turnloom.sources.tables import views
 
-STEP = Window.partitionBy("session_id").orderBy("step")
+
+def by_step() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("step")
+
 
 
 def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def steps(u: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("attempts"),
     )
     accepted = F.when(F.col("status") == 200, F.col("prompt"))
-    return per.withColumn("before", F.last(accepted, ignorenulls=True).over(STEP.rowsBetween(Window.unboundedPreceding, -1)))
+    return per.withColumn("before", F.last(accepted, ignorenulls=True).over(by_step().rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def basics(u: DataFrame) -> DataFrame:
@@ -52,8 +55,8 @@ def prefix(u: DataFrame) -> DataFrame:
 
 def rewrites(u: DataFrame) -> DataFrame:
     """Steps whose prompt shrank against the last accepted one, and runs of such steps back to back."""
-    s = steps(u).where("before is not null and prompt < before").withColumn("prev", F.lag("step").over(STEP))
-    s = s.withColumn("island", F.sum((~F.col("prev").eqNullSafe(F.col("step") - 1)).cast("int")).over(STEP))
+    s = steps(u).where("before is not null and prompt < before").withColumn("prev", F.lag("step").over(by_step()))
+    s = s.withColumn("island", F.sum((~F.col("prev").eqNullSafe(F.col("step") - 1)).cast("int")).over(by_step()))
     return s.groupBy("session_id", "island").agg(F.min("step").alias("first"), F.count(F.lit(1)).alias("length")).select("session_id", F.col("island").cast("long").alias("island"), "first", "length")
 
 

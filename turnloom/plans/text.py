@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import hashing, text, tokens
-from turnloom.operators.structure import SESSION
+from turnloom.operators.structure import in_order
 from turnloom.sources.tables import read
 from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
 
@@ -124,7 +124,7 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each session, running total by message, and whether it is within 61,000."""
     e = estimates(spark, sf_dir)
-    total = e.withColumn("running", F.sum("tokens").over(SESSION)).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.max("running").alias("running"))
+    total = e.withColumn("running", F.sum("tokens").over(in_order())).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.max("running").alias("running"))
     return total.select("session_id", "tokens", "largest", (F.col("running") <= 61000).alias("fits"))
 
 
@@ -212,7 +212,7 @@ _SENTENCES = f"""{WITH_TRANSCRIPT}, s AS (
 )"""
 _WORDS = "[w FOR w IN list_distinct([lower(x) FOR x IN regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]{{3,}}')]) IF w NOT IN (" + _STOP_SQL + ")]"
 _IDS = f"""{WITH_TRANSCRIPT}, ids AS (
-  SELECT DISTINCT session_id, idx, unnest(regexp_extract_all(content, '\\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+\\b')) AS id FROM transcript WHERE role = 'user'
+  SELECT DISTINCT session_id, idx, unnest(regexp_extract_all(content, '\\b[A-Z]{{2,}}(?:-[A-Z0-9]+)*-[A-Z]*[0-9][A-Z0-9]*\\b')) AS id FROM transcript WHERE role = 'user'
 )"""
 _PATHS = f"""{WITH_TRANSCRIPT}, paths AS (
   SELECT session_id, idx, regexp_extract(content, '^((?:[\\w.@-]+/)+[\\w.@-]+\\.[A-Za-z0-9]{{1,8}})', 1) AS path FROM transcript WHERE role = 'tool' AND tool_name = 'read_file'
