@@ -49,6 +49,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """df in no more partitions than its number of rows (known, or a bound of it) asks for."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 1 << 23) -> DataFrame:
+    """Rows whose key may be among the wanted keys: a first filter, before rows are shuffled for an exact join.
+
+    The wanted keys set bits of a hash bitmap of at most bits / 8 bytes (1 MB), which is the bound of what is broadcast.
+    A full bitmap lets all rows pass.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
+    maps = wanted.select(F.bitmap_bucket_number(place(wanted_key)).alias("__bucket"), F.bitmap_bit_position(place(wanted_key)).alias("__bit"))
+    maps = maps.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__bucket"))
+    return joined.where(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1).drop("__bucket", "__map")
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters outside BLANKS; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

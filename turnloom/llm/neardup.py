@@ -7,10 +7,13 @@ ROWS registers put classes into buckets; a pair with Jaccard similarity 0.8 shar
 (1 - 0.8^4)^36, about 6e-9.
 
 Links are found in two rounds, neither of which emits the pairs of a bucket:
-1. each class meets the first class of each of its buckets; registers estimate the similarity by maximum likelihood given
-   both set sizes, hopeless pairs go, the others are verified on the full sets, and links are joined to components;
+1. each class meets the medoid of each of its buckets (the class whose buckets are largest in sum: of a text and its
+   altered copies, mostly the text); registers estimate the similarity by maximum likelihood given both set sizes,
+   hopeless pairs go, the others are verified on the full sets, and links are joined to components;
 2. in buckets of three or more that still hold several components, classes of different components are compared by their
-   registers, in blocks of bounded size; likely pairs are verified on the full sets.
+   registers, in blocks of bounded size. Likely pairs of small components are verified one by one. A pair with a
+   component of more than SMALL classes only names its two components, and these are compared on the full sets of all
+   their classes, by inverted lists over blocks of bounded size, which give one link for each class at most.
 What round 2 leaves out is either linked already or shares its component, so no pair of a bucket is lost.
 
 Components come from large-star and small-star steps over the links, a written table each.
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, maybe_in, packed, read
 from .tokens import text_batches
 from .words import shingle_sets
 
@@ -41,7 +44,7 @@ BANDS, ROWS = 36, 4
 REGISTERS = BANDS * ROWS
 #: Parameters of the sketch: base, rate, largest register.
 B, A, Q = 1.001, 20.0, 65534
-PERCENT, LIKELY, BLOCK, GROUP_ROWS = 80, 0.55, 1024, 20000
+PERCENT, LIKELY, BLOCK, SMALL, SETS = 80, 0.6, 1024, 8, 512
 _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 64, REGISTERS, np.uint64, endpoint=False)
@@ -82,7 +85,7 @@ def similarity(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
 
 def likely(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """False for pairs that cannot be, or almost surely are not, linked."""
-    out = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    out = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((x == y).sum(1) >= LIKELY * REGISTERS)
     if out.any():
         out[out] = similarity(x[out], y[out], n[out], m[out]) >= LIKELY
     return out
@@ -133,49 +136,118 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, digest binary, shingles array<long>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_of(wanted: DataFrame, rows: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """rid, shingles for the classes wanted(rid), at most so many rows; written out."""
+    wanted = materialize(packed(classes.join(wanted.distinct(), "rid").select("rid", "digest", F.col("doc_id").alias("c_doc_id")), rows), "wanted")
+    chosen = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("c_doc_id"))
+    chosen = chosen.join(wanted.select("c_doc_id").distinct(), chosen["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_semi")
+    return materialize(full_sets(chosen).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles"), "full-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    wanted = materialize(classes.join(wanted, "rid").select("rid", "digest", F.col("doc_id").alias("c_doc_id")), "wanted")
-    chosen = docs.select("doc_id", "text").join(wanted.select("c_doc_id").distinct(), docs["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_semi")
-    sets = full_sets(chosen).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles")
-    sets = materialize(sets, "full-sets")
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
     return materialize(shared.where(100 * F.col("i") >= PERCENT * (F.col("t") - F.col("i"))).select("a", "b"), "links")
 
 
+def linked_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each set on the right one link into the block on the left, if there is any."""
+    a, b = [], []
+    if len(left) and len(right):
+        size = left["shingles"].map(len).to_numpy()
+        flat = np.concatenate(left["shingles"].to_numpy())
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(left)), size)[order]
+        rid = left["rid"].to_numpy()
+        for r, s in zip(right["rid"], right["shingles"], strict=True):
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(left))
+            hit = np.flatnonzero(100 * shared >= PERCENT * (size + len(s) - shared))
+            if len(hit):
+                a.append(r)
+                b.append(rid[hit[0]])
+    return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+
+def linked_components(pairs: DataFrame, placed: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """Links between components a and b, of which b is the larger; placed(rid, root) has the classes of all components.
+
+    Both sides are dealt to blocks of about SETS classes, and every block of b meets every block of what b is paired with.
+    """
+    member = placed.join(sets, "rid")
+    big = pairs.select(F.col("b").alias("root")).distinct()
+    small = pairs.join(placed.select(F.col("root").alias("a"), "rid"), "a").select(F.col("b").alias("root"), "rid")
+    small = materialize(packed(small.distinct(), rows), "block-members")
+    parts = placed.join(big, "root", "left_semi").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).cast("int").alias("blocks"))
+    parts = materialize(packed(parts.join(small.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).cast("int").alias("chunks")), "root"), rows), "block-parts")
+    deal = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = member.join(parts, "root").withColumn("block", deal(F.col("blocks"))).withColumn("chunk", every("chunks"))
+    right = small.join(sets, "rid").join(parts, "root").withColumn("chunk", deal(F.col("chunks"))).withColumn("block", every("blocks"))
+    key = ["root", "block", "chunk"]
+    left, right = (x.select(*(F.col(c).alias(c) for c in (*key, "rid", "shingles"))) for x in (left, right))
+    return materialize(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(linked_blocks, CELL), "block-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of links(a, b): the root is the smallest node of its component."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, now = None, state(edges)
-    while now != before and now[0]:
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    rows = links.count()
+    edges = materialize(packed(edges, rows), "edges")
+    # a step that changes nothing ends it: every edge then leads to a root that is no node itself
+    while rows and edges.join(edges.select(F.col("u").alias("n")), edges["v"] == F.col("n"), "left_semi").limit(1).count() + edges.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
         # large star: larger neighbours hang on the smallest of all neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(packed(large, 2 * rows), "large-star")
         # small star: smaller neighbours and the node itself hang on the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "small-star")
-        before, now = now, state(edges)
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        edges = materialize(packed(small.where("u <> v").distinct(), 2 * rows), "small-star")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _compare(cell: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs between components within each key of a cell; at most BLOCK rows of each of two blocks a key."""
+    """Likely pairs between components within each key of a cell; at most BLOCK rows of each of two blocks a key.
+
+    With a component of more than SMALL classes, the pair of components (smaller first) is returned in place of a pair of
+    classes, and whole is true; the likeliest pair stands for all.
+    """
     out = []
-    for _, g in cell.groupby(["key", "i", "j"], sort=False):
-        x = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), REGISTERS)
-        rid, root, n, block, i = (g[c].to_numpy() for c in ("rid", "root", "n", "block", "i"))
-        for k in range(len(g)):
-            other = np.flatnonzero((root != root[k]) & (rid > rid[k]) & ((g["i"].iloc[0] == g["j"].iloc[0]) | (block != block[k])))
-            if len(other):
-                ok = likely(np.broadcast_to(x[k], (len(other), REGISTERS)), x[other], np.full(len(other), n[k]), n[other])
-                out.append(pd.DataFrame({"a": rid[other[ok]], "b": rid[k]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+    for (_, i, j), g in cell.groupby(["key", "i", "j"], sort=False):
+        x = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), BANDS, ROWS)
+        rid, root, n, block, size, band = (g[c].to_numpy() for c in ("rid", "root", "n", "block", "members", "band"))
+        # the largest component needs no turn of its own: all others meet it
+        top = root[np.lexsort((root, size))[-1]]
+        for k in np.flatnonzero(root != top):
+            other = np.flatnonzero((root != root[k]) & ((root == top) | (rid > rid[k])) & ((i == j) | (block != block[k])))
+            equal = x[other] == x[k]
+            same = equal.sum((1, 2))
+            # a pair counts in the first band it shares
+            first = equal.all(2).argmax(1) == band[k]
+            near = first & (same >= LIKELY * REGISTERS) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
+            other, same = other[near], same[near]
+            if not len(other):
+                continue
+            small = (size[other] <= SMALL) & (size[k] <= SMALL)
+            # of large components, the pair with most equal registers
+            picked = np.flatnonzero(~small)
+            picked = picked[np.argsort(-same[picked], kind="stable")]
+            picked = picked[np.unique(root[other[picked]], return_index=True)[1]]
+            at = np.concatenate([np.flatnonzero(small), picked]).astype(np.int64)
+            o, whole = other[at], ~small[at]
+            flat = x[o].reshape(len(o), REGISTERS)
+            ok = likely(np.broadcast_to(x[k].reshape(REGISTERS), flat.shape), flat, np.full(len(o), n[k]), n[o])
+            o, whole = o[ok], whole[ok]
+            first = (size[o] < size[k]) | ((size[o] == size[k]) & (root[o] < root[k]))
+            a = np.where(whole, np.where(first, root[o], root[k]), np.maximum(rid[o], rid[k]))
+            b = np.where(whole, np.where(first, root[k], root[o]), np.minimum(rid[o], rid[k]))
+            out.append(pd.DataFrame({"a": a, "b": b, "whole": whole}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "whole": []}).astype({"a": "int64", "b": "int64", "whole": bool})
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -186,12 +258,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
-    keys = materialize(classes.select("rid", F.explode(bands).alias("key")), "bands")
-    buckets = materialize(keys.groupBy("key").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    keys = classes.select("rid", F.posexplode(bands).alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(buckets, "key"), "members")
 
-    # round 1: each class and the first of each of its buckets
-    star = members.where("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")).distinct()
+    # round 1: each class and the medoid of each of its buckets
+    weight = members.groupBy("rid").agg(F.sum("size").alias("weight"))
+    medoids = members.join(weight, "rid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rid")).alias("by_rid"))).alias("m"))
+    star = members.join(medoids, "key").select("rid", (-F.col("m.by_rid")).alias("first")).where("rid <> first")
+    star = star.select(F.greatest("rid", "first").alias("a"), F.least("rid", "first").alias("b")).distinct()
     side = lambda name: classes.select(F.col("rid").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
 
     def probable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,28 +276,41 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 yield pdf.loc[likely(x, y, pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()), ["a", "b"]]
 
     pairs = materialize(star.join(side("a"), "a").join(side("b"), "b").mapInPandas(probable, CELL), "star-pairs")
-    links = verified(pairs, classes, docs)
-    roots = materialize(components(links), "roots")
+    nodes = lambda p: p.select(F.col("a").alias("rid")).unionByName(p.select(F.col("b").alias("rid")))
+    n_pairs = pairs.count()
+    links = verified(pairs, sets_of(nodes(pairs), 2 * n_pairs, classes, docs))
+    roots = components(links)
 
     # round 2: buckets that still hold several components
-    placed = members.where("size > 2").join(roots, members["rid"] == roots["node"], "left").select("key", "rid", "size", F.coalesce("root", "rid").alias("root"))
+    sizes = roots.groupBy("root").agg((F.count(F.lit(1)) + 1).cast("int").alias("members"))
+    placed = members.where("size > 2").join(roots, members["rid"] == roots["node"], "left").select("key", "band", "rid", "size", F.coalesce("root", "rid").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    cells = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    cells = placed.join(mixed, "key").join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    cells = cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    cells = materialize(cells.select("key", "rid", "root", "block", "i", "j"), "cells")
-    total = cells.count()
-    if total:
-        spread = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(24, -(-total // GROUP_ROWS))))
-        more = cells.join(classes.select("rid", "n", "registers"), "rid").groupBy(spread.alias("cell")).applyInPandas(_compare, CELL).distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "cell-pairs")
-        extra = verified(more, classes, docs)
-        roots = materialize(components(links.unionByName(extra)), "roots")
+    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "band", "rid", "root", "members", "block", "i", "j")
+    groups = max(24, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))
+    found = cells.join(classes.select("rid", "n", "registers"), "rid").groupBy(spread.alias("cell")).applyInPandas(_compare, f"{CELL}, whole boolean")
+    found = materialize(found.distinct(), "cell-pairs")
+    total = found.agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("whole")).first()
+    if total["n"]:
+        single = found.where("not whole").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        whole = found.where("whole").select("a", "b")
+        everyone = roots.select(F.col("node").alias("rid"), "root").unionByName(roots.select(F.col("root").alias("rid"), "root").distinct())
+        involved = nodes(whole).distinct().withColumnRenamed("rid", "root")
+        grown = everyone.join(involved, "root", "left_semi").select("rid", "root").unionByName(involved.join(everyone, "root", "left_anti").select(F.col("root").alias("rid"), "root"))
+        grown = materialize(packed(grown, 2 * (n_pairs + total["whole"])), "grown")
+        sets = sets_of(nodes(single).unionByName(grown.select("rid")), 2 * (n_pairs + total["n"]), classes, docs)
+        more = verified(single, sets)
+        if total["whole"]:
+            more = more.unionByName(linked_components(whole, grown, sets, 2 * (n_pairs + total["whole"])))
+        roots = components(links.unionByName(more))
 
     named = classes.join(roots, classes["rid"] == roots["node"], "left").select("digest", "doc_id", F.coalesce("root", "rid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(least, "root").select("digest", "component_id"), "components")
+    named = named.join(least, "root").select("digest", "component_id")
     out = rows.where("n > 0").select("rid", "doc_id", "n", "digest").join(named, "digest")
     return out.unionByName(rows.where("n = 0").select("rid", "doc_id", "n", "digest", F.col("doc_id").alias("component_id")))
 
