@@ -182,12 +182,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     repeated = groups.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("size").alias("__s"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)), "__size": F.length(text)})
-    same = (keyed["__digest"] == kept["__d"]) & (keyed["__size"] == kept["__s"]) & keyed["doc_id"].eqNullSafe(kept["__id"])
+    # whole rows travel as one column, so that no name of theirs meets one of ours
+    keyed = docs.select("doc_id", F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("digest"), F.length(text).alias("size"), F.struct("*").alias("row"))
+    same = (keyed["digest"] == kept["__d"]) & (keyed["size"] == kept["__s"]) & keyed["doc_id"].eqNullSafe(kept["__id"])
     out = keyed.join(kept, same, "left_semi")
     if repeated:  # rows that repeat both doc_id and text
-        out = out.dropDuplicates(["doc_id", "__digest"])
-    return out.drop("__digest", "__size")
+        out = out.dropDuplicates(["doc_id", "digest"])
+    return out.select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

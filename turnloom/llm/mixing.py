@@ -62,9 +62,9 @@ def mixture(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """Every row of docs as often as the mix takes it; columns unchanged."""
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     rates = materialize(source_rates(sizes), "rates")
-    columns = docs.columns
-    copies = with_copies(docs, rates, seed)
-    return copies.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
+    # whole rows travel as one column, so that no name of theirs meets one of ours
+    copies = with_copies(docs.select("doc_id", "source", F.struct("*").alias("row")), rates, seed)
+    return copies.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
