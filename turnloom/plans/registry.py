@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.plans import budget, logs, metrics, report, sequential, structure, text
+from turnloom.plans import budget, logs, metrics, report, sequential, shared, structure, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (report, structure, text, budget, metrics, logs, sequential):
+for module in (report, structure, text, budget, metrics, logs, sequential, shared):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

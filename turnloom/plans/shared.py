@@ -1,0 +1,115 @@
+"""Relational queries that one SQL text states for both engines, over the derived inputs.
+
+In Spark the inputs are temporary views; for the second engine they head the text as common table expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from turnloom.plans.metrics import upstream
+from turnloom.plans.report import stats
+from turnloom.sources.requests import UPSTREAM_SQL
+from turnloom.sources.stats import STATS_SQL
+from turnloom.sources.tables import views
+from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
+
+_WITH = f"{WITH_TRANSCRIPT}, upstream AS ({UPSTREAM_SQL}), stats AS ({STATS_SQL})"
+_STEPS = """
+steps AS (SELECT session_id, step, max_by(status, attempt) AS status, max_by(prompt, attempt) AS prompt, max_by(completion, attempt) AS completion, min(kind) AS kind, count(*) AS attempts
+          FROM upstream GROUP BY session_id, step)"""
+#: Facts planted in steps: each is said in one step and may be replaced by a later one.
+_FACTS = """
+facts AS (SELECT session_id, step AS planted, CASE WHEN step % 3 = 0 THEN step + 2 END AS successor, prompt % 7 AS marker FROM steps WHERE step % 2 = 1),
+seen AS (SELECT f.session_id, f.planted, f.successor, s.step, s.prompt % 7 <= f.marker AS present FROM facts f JOIN steps s ON s.session_id = f.session_id AND s.step > f.planted AND s.status = 200)"""
+
+TEXTS: dict[str, str] = {
+    "sc02_valid_records": """SELECT action, count(*) AS n FROM stats WHERE seq >= 0 AND client_status BETWEEN 100 AND 598 AND (tokens_in IS NOT NULL OR tokens_out IS NOT NULL OR n_attempts > 0) GROUP BY action""",
+    "a02_failures": """SELECT action, count(*) FILTER (WHERE client_status >= 400) AS by_status, count(*) FILTER (WHERE upstream_incomplete) AS incomplete, count(*) FILTER (WHERE n_attempts > 0 AND last_status <> 200) AS by_attempt,
+      count(*) FILTER (WHERE n_attempts = 0 AND client_status >= 400) AS local_rejects, count(*) FILTER (WHERE shadow) AS shadow FROM stats GROUP BY action""",
+    "a05_field_coverage": "SELECT count(*) AS records, count(tokens_in) AS tokens_in, count(tokens_out) AS tokens_out, count(*) FILTER (WHERE n_attempts > 0) AS attempts FROM stats",
+    "a07_distinct_sessions": "SELECT least(count(DISTINCT session), 100) AS sessions, count(DISTINCT session) > 100 AS lower_bound, count(*) FILTER (WHERE session IS NULL) AS missing FROM stats",
+    "a08_time_span": "SELECT min(ts) AS first_ts, max(ts) AS last_ts FROM stats",
+    "a09_transient_retries": "SELECT count(*) FILTER (WHERE transient_retries > 0) AS requests, CAST(sum(CASE WHEN transient_retries > 0 THEN transient_retries ELSE 0 END) AS BIGINT) AS retries FROM stats",
+    "a12_counters": """SELECT CASE WHEN rank <= 8 THEN session ELSE 'other' END AS session, CAST(sum(n) AS BIGINT) AS n FROM (
+      SELECT session, n, row_number() OVER (ORDER BY first_seq, session) AS rank FROM (SELECT session, count(*) AS n, min(seq) AS first_seq FROM stats GROUP BY session) AS c) AS r GROUP BY CASE WHEN rank <= 8 THEN session ELSE 'other' END""",
+    "a17_session_summary": f"""WITH {_STEPS} SELECT session_id, count(*) AS steps, count(*) FILTER (WHERE status = 200) AS ok, count(*) FILTER (WHERE status = 400) AS rejections, count(*) FILTER (WHERE status >= 500) AS errors,
+      CAST(sum(prompt) AS BIGINT) AS sent, max(prompt) AS peak FROM steps GROUP BY session_id""",
+    "a18_dropped_results": """SELECT tool_name, count(*) AS dropped, CAST(sum(length(content)) AS BIGINT) AS chars FROM transcript t
+      WHERE role = 'tool' AND NOT EXISTS (SELECT 1 FROM transcript l WHERE l.session_id = t.session_id AND l.role = 'tool' AND l.tool_name = t.tool_name AND l.idx > t.idx) GROUP BY tool_name""",
+    "a19_fact_results": f"""WITH {_STEPS}, {_FACTS} SELECT session_id, planted, count(*) AS checked, count(*) FILTER (WHERE present) AS present, min(CASE WHEN NOT present THEN step END) AS first_missing,
+      coalesce(max(CASE WHEN present THEN step END) > min(CASE WHEN NOT present THEN step END), FALSE) AS resurfaced FROM seen GROUP BY session_id, planted""",
+    "a20_confusion": f"""WITH {_STEPS}, {_FACTS} SELECT CASE WHEN successor IS NULL OR step < successor THEN CASE WHEN present THEN 'kept' ELSE 'lost' END ELSE CASE WHEN present THEN 'stale' ELSE 'replaced' END END AS outcome, count(*) AS n
+      FROM seen GROUP BY CASE WHEN successor IS NULL OR step < successor THEN CASE WHEN present THEN 'kept' ELSE 'lost' END ELSE CASE WHEN present THEN 'stale' ELSE 'replaced' END END""",
+    "a25_reduction_by_action": """SELECT action, CAST(1 - CAST(sum(tokens_out) AS DOUBLE) / CAST(sum(tokens_in) AS DOUBLE) AS DOUBLE) AS ratio FROM stats WHERE tokens_in IS NOT NULL AND tokens_out IS NOT NULL GROUP BY action""",
+    "a26_gates": f"""WITH {_STEPS} SELECT kind, CASE WHEN count(*) < 5 THEN 'NOT RUN' WHEN bool_and(status <> 400) THEN 'PASS' ELSE 'FAIL' END AS no_overflow,
+      CASE WHEN count(*) FILTER (WHERE attempts > 1) = 0 THEN 'NOT RUN' WHEN max(attempts) <= 8 THEN 'PASS' ELSE 'FAIL' END AS bounded_retries FROM steps GROUP BY kind""",
+    "a27_sweep_choice": f"""WITH {_STEPS}, cells AS (SELECT kind, session_id % 10 AS setting, count(*) FILTER (WHERE status <> 200) AS failed, CAST(sum(prompt) AS BIGINT) AS cost FROM steps GROUP BY kind, session_id % 10)
+      SELECT kind, setting, cost FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY failed, cost, setting) AS r FROM cells) AS c WHERE r = 1""",
+    "a29_todo_closure": """SELECT t.session_id, count(DISTINCT t.idx) AS todos, count(DISTINCT CASE WHEN r.idx IS NOT NULL THEN t.idx END) AS closed FROM transcript t
+      LEFT JOIN transcript r ON r.session_id = t.session_id AND r.role = 'tool' AND r.call_id = t.call_id WHERE t.role = 'assistant' AND t.content LIKE 'TODO:%' GROUP BY t.session_id""",
+    "a30_overshoot": "SELECT kind, count(*) AS n, max(prompt + completion - 1500) AS overshoot FROM upstream WHERE status = 400 GROUP BY kind",
+    "a31_retention_scores": f"""WITH {_STEPS} SELECT session_id % 20 AS run, count(*) FILTER (WHERE attempts > 1 AND status = 200) AS corrected, count(*) FILTER (WHERE status = 400) AS overflows, count(DISTINCT session_id) AS sessions FROM steps GROUP BY session_id % 20""",
+    "a33_baseline_compare": f"""WITH {_STEPS}, now AS (SELECT session_id, CAST(sum(prompt) AS BIGINT) AS cost FROM steps WHERE session_id % 5 <> 0 GROUP BY session_id), base AS (SELECT session_id, CAST(sum(completion) * 8 AS BIGINT) AS cost FROM steps WHERE session_id % 7 <> 0 GROUP BY session_id)
+      SELECT coalesce(n.session_id, b.session_id) AS session_id, CASE WHEN b.cost IS NULL THEN 'new' WHEN n.cost IS NULL THEN 'missing' WHEN n.cost > 1.5 * b.cost THEN 'slower' ELSE 'ok' END AS verdict FROM now n FULL OUTER JOIN base b ON n.session_id = b.session_id""",
+    "j02_unique_id_pairs": """SELECT c.session_id, c.idx AS call_idx, r.idx AS result_idx FROM transcript c JOIN transcript r ON r.session_id = c.session_id AND r.call_id = c.call_id AND r.role = 'tool' AND r.idx > c.idx
+      WHERE c.role = 'assistant' AND NOT EXISTS (SELECT 1 FROM transcript q WHERE q.session_id = r.session_id AND q.role = 'tool' AND q.call_id = r.call_id AND q.idx < r.idx)""",
+    "j08_repeats": """SELECT a.session_id, a.idx, min(b.idx) AS repeated FROM transcript a JOIN transcript b ON a.session_id = b.session_id AND lower(trim(a.content)) = lower(trim(b.content)) AND a.idx < b.idx AND a.role = b.role
+      WHERE a.content <> '' GROUP BY a.session_id, a.idx""",
+    "j09_zip": """SELECT a.session_id, CAST(a.k AS BIGINT) AS k, a.seq, b.seq AS aux_seq FROM (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM upstream WHERE kind = 'main') AS a
+      JOIN (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM upstream WHERE kind = 'aux') AS b ON a.session_id = b.session_id AND a.k = b.k""",
+    "j11_defects_of_client": """SELECT session_id, step, count(*) FILTER (WHERE status = 400) AS forwarded, bool_or(attempt = 1 AND status = 400) AS of_client FROM upstream GROUP BY session_id, step""",
+    "j12_restart_divergence": """SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM (SELECT session_id, count(*) AS n FROM upstream WHERE step % 2 = 0 GROUP BY session_id) AS a
+      FULL OUTER JOIN (SELECT session_id, count(*) AS n FROM upstream WHERE step % 2 = 1 GROUP BY session_id) AS b ON a.session_id = b.session_id WHERE a.n IS DISTINCT FROM b.n""",
+    "j14_successors": f"WITH {_STEPS}, {_FACTS} SELECT f.session_id, f.planted, s.step AS successor_step, s.status FROM facts f LEFT JOIN steps s ON s.session_id = f.session_id AND s.step = f.successor",
+    "j15_manifest": f"""WITH {_STEPS}, manifest AS (SELECT DISTINCT session_id, m.step FROM steps CROSS JOIN (SELECT 1 AS step UNION ALL SELECT 3 UNION ALL SELECT 5) AS m)
+      SELECT m.session_id, m.step, coalesce(CAST(s.status AS VARCHAR(20)), 'NOT RUN') AS state FROM steps s RIGHT JOIN manifest m ON s.session_id = m.session_id AND s.step = m.step""",
+    "j16_later_references": """SELECT a.session_id, a.idx, count(DISTINCT b.idx) AS later FROM transcript a JOIN transcript b ON a.session_id = b.session_id AND a.tool_name = b.tool_name AND b.idx > a.idx WHERE a.role = 'tool' AND b.role = 'tool' GROUP BY a.session_id, a.idx""",
+    "j17_profiles": """SELECT u.kind, coalesce(p.share, r.share) AS share, count(*) AS n FROM upstream u LEFT JOIN (SELECT 'aux' AS kind, 4 AS share) AS p ON u.kind = p.kind CROSS JOIN (SELECT 9 AS share) AS r GROUP BY u.kind, coalesce(p.share, r.share)""",
+    "w13_rewrites": """SELECT session_id, count(*) FILTER (WHERE prompt < before) AS rewrites, count(*) AS n FROM (SELECT session_id, prompt, lag(prompt) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM upstream WHERE status = 200) AS x GROUP BY session_id""",
+    "w19_ranking_signals": """SELECT session_id, idx, CASE WHEN newest > idx THEN 1 ELSE 0 END AS is_older_copy, CASE WHEN content LIKE '% failed' AND content NOT LIKE '% 0 failed' THEN 0 ELSE 1 END AS no_error, -later AS neg_later FROM (
+      SELECT session_id, idx, content, max(idx) OVER (PARTITION BY session_id, tool_name, content) AS newest, count(*) OVER (PARTITION BY session_id, tool_name ORDER BY idx DESC) - 1 AS later FROM transcript WHERE role = 'tool') AS x""",
+    "t01_item_order": """SELECT session_id, idx, CAST(row_number() OVER (PARTITION BY session_id ORDER BY category, neg_size, idx) AS BIGINT) AS place FROM (
+      SELECT session_id, idx, -length(content) AS neg_size, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN CASE WHEN content LIKE 'DECISION:%' THEN 1 WHEN content LIKE 'TODO:%' THEN 2 ELSE 5 END ELSE 4 END AS category FROM transcript) AS x""",
+    "t03_largest_first": "SELECT session_id, idx, r FROM (SELECT session_id, idx, CAST(row_number() OVER (PARTITION BY session_id ORDER BY length(content) DESC, idx) AS BIGINT) AS r FROM transcript WHERE role = 'tool') AS x WHERE r <= 6",
+    "t06_latest_requests": "SELECT seq, action FROM (SELECT seq, action, row_number() OVER (ORDER BY seq DESC) AS r FROM stats WHERE seq > (SELECT max(seq) - 64 FROM stats)) AS x WHERE r <= 64",
+    "s01_new_results": """SELECT a.session_id, a.tool_name, a.n - coalesce(b.n, 0) AS surplus FROM (SELECT session_id, tool_name, count(*) AS n FROM transcript WHERE role = 'tool' GROUP BY session_id, tool_name) AS a
+      LEFT JOIN (SELECT session_id, tool_name, count(*) AS n FROM transcript WHERE role = 'assistant' GROUP BY session_id, tool_name) AS b ON a.session_id = b.session_id AND a.tool_name = b.tool_name WHERE a.n > coalesce(b.n, 0)""",
+    "s05_first_seen": "SELECT session_id, tool_name, min(idx) AS first_idx FROM transcript WHERE tool_name IS NOT NULL GROUP BY session_id, tool_name",
+    "s06_synthesized": """SELECT count(*) AS answered FROM transcript a WHERE role = 'tool' AND call_id IN (SELECT call_id FROM transcript WHERE role = 'assistant')""",
+    "s07_event_stream": """SELECT session_id, idx, kind, id FROM (SELECT session_id, idx, 'call' AS kind, call_id AS id FROM transcript WHERE role = 'assistant' UNION ALL SELECT session_id, idx, 'result', call_id FROM transcript WHERE role = 'tool') AS x WHERE id IS NOT NULL""",
+    "d05_retention_days": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, count(*) AS n FROM stats WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM stats) - INTERVAL '14' DAY GROUP BY CAST(ts AS DATE)",
+    "st05_replans": f"""WITH {_STEPS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN before IS NULL THEN 'new_session' WHEN kind <> before_kind THEN 'inputs_changed' WHEN prompt < before THEN 'client_mutation' ELSE 'none' END AS reason FROM (
+      SELECT kind, prompt, lag(prompt) OVER (PARTITION BY session_id ORDER BY step) AS before, lag(kind) OVER (PARTITION BY session_id ORDER BY step) AS before_kind FROM steps) AS x) AS y GROUP BY reason""",
+    "st12_client_compactions": """SELECT session_id, count(*) AS detected FROM (SELECT session_id, prompt, lag(prompt) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM upstream) AS x WHERE prompt * 1.1 < before GROUP BY session_id""",
+    "st13_allowance_warnings": "SELECT kind, max(completion) AS largest, max(completion) > 700 AS warn FROM upstream WHERE status = 200 GROUP BY kind",
+    "ra_actions": f"""WITH {_STEPS} SELECT action, count(*) AS n FROM (SELECT CASE WHEN prompt > 9000 THEN 'impossible' WHEN before IS NOT NULL AND prompt < before THEN 'compact' WHEN attempts > 1 THEN 'admit' WHEN before IS NULL THEN 'passthrough' ELSE 'reuse' END AS action FROM (
+      SELECT prompt, attempts, lag(prompt) OVER (PARTITION BY session_id ORDER BY step) AS before FROM steps) AS x) AS y GROUP BY action""",
+    "rg_guard": """SELECT session_id, seq, CASE WHEN status <> 200 THEN 'invalid' WHEN prompt > 9000 THEN 'budget' WHEN prompt + completion > 9500 THEN 'server_fit' WHEN bytes < prompt THEN 'no_growth' ELSE 'ok' END AS reason FROM upstream""",
+    "x23_dispositions": """SELECT session_id, idx, CASE WHEN idx = 0 OR idx >= n - 4 THEN 'verbatim' WHEN role = 'tool' AND length(content) > 100 THEN 'excerpted' WHEN content <> '' THEN 'summarized' ELSE 'dropped' END AS disposition
+      FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM transcript) AS x""",
+    "x27_marker_search": """SELECT session_id, count(*) AS messages FROM transcript WHERE content LIKE concat('%ORD-', CAST(session_id AS VARCHAR(20)), '%') GROUP BY session_id""",
+    "sk02_record_projection": """SELECT seq, ts, action, client_status, n_attempts, CAST(floor(1000.0 * tokens_out / tokens_in) AS BIGINT) AS ratio_permille, coalesce(tokens_out > tokens_in, FALSE) AS grew FROM stats""",
+}
+
+
+def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, "events", "orders", "lineitem")
+        for name, make in (("transcript", transcript), ("upstream", upstream), ("stats", stats)):
+            if name in text:
+                make(spark, sf_dir).createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return run
+
+
+def _second(text: str) -> str:
+    """The text behind the inputs' expressions; a WITH of its own goes on with the list."""
+    return f"{_WITH}, {text.strip()[5:]}" if text.strip().startswith("WITH ") else f"{_WITH} {text}"
+
+
+QUERIES = {name: _query(text) for name, text in TEXTS.items()}
+SQL = {name: _second(text) for name, text in TEXTS.items()}
