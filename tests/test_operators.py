@@ -259,3 +259,36 @@ def test_streamed_timeline(spark, small, tmp_path):
     out = run_stream(spark, frame, [frame], lambda s: streaming.timeline(s, "1 day"), "complete", tmp_path, "timeline_out")
     want = frame.groupBy(F.date_trunc("day", "ts").alias("bucket")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("compacted").alias("compactions"))
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_truncation_keeps_its_room():
+    from turnloom.operators.rewrites import slimmed, tokens, truncated
+
+    long = "".join(f"line {i}\n" for i in range(500))
+    for room in (1, 8, 30, 200):
+        out = truncated(long, room)
+        assert tokens(out) <= max(room, 8) and "left out" in out
+    assert truncated("short", 5) == "short"
+    page = "- Page URL: u\n- Page Snapshot:\n" + "- text a\n" * 50 + "- button b\n" + "- text c\n" * 50
+    out = slimmed(page, 60)
+    assert "- button b" in out and out.startswith("- Page URL: u\n- Page Snapshot:\n") and tokens(out) <= 60
+
+
+def test_tabs_and_units():
+    from turnloom.operators.rewrites import pair_unit, tabs
+
+    assert tabs([("navigate", "a"), ("new", "b"), ("new", "c"), ("select", "1"), ("close", "0")]) == (["b", "c"], 0)
+    assert tabs([("new", "b"), ("close", "1"), ("close", "0")]) == (["about:blank"], 0)
+    assert tabs([("list", '["x", "y"]'), ("select", "1"), ("select", "9")]) == (["x", "y"], 1)
+    assert pair_unit(["a", "b"], ["b", None, "a"]) == [1, 0, None]
+
+
+def test_unit_pairs_of_unique_ids(spark, small):
+    from turnloom.operators.rewrites import unit_pairs
+    from turnloom.sources.transcript import transcript
+
+    log = transcript(spark, small).where("session_id % 10 = 1").cache()
+    asof = {(r["session_id"], r["result_idx"]): r["call_idx"] for r in structure.call_for(log).collect()}
+    for r in unit_pairs(log).collect():
+        if r["call_idx"] is not None:
+            assert asof[r["session_id"], r["idx"]] == r["call_idx"]

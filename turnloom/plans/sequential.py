@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import tokens
-from turnloom.operators import planner, supersede
+from turnloom.operators import planner, rewrites, supersede
 from turnloom.plans.metrics import upstream
 from turnloom.sources.transcript import transcript
 from turnloom.streaming import calibration_batch
@@ -36,5 +36,30 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration_batch(good.select(F.col("session_id").alias("key"), "seq", (F.col("prompt") * 2 / F.col("bytes")).alias("ratio")))
 
 
-QUERIES = {"st03_session_plans": plans, "a11_plan_actions": plan_actions, "x19_superseded": replaced, "st07_calibration": calibrated}
+def tab_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Browser events: a snapshot navigates, other tools open, select or close tabs by their part."""
+    log = transcript(spark, sf_dir).where("role = 'tool'")
+    kind = F.when(F.col("tool_name") == "browser_snapshot", "navigate").when(F.col("idx") % 4 == 0, "new").when(F.col("idx") % 4 == 2, "select").otherwise("close")
+    value = F.when(kind.isin("navigate", "new"), F.regexp_extract("content", r"(https?://\S+|^\S+)", 1)).otherwise((F.col("idx") % 3).cast("string"))
+    return rewrites.tab_states(log.select("session_id", F.col("idx").alias("n"), kind.alias("kind"), value.alias("value")))
+
+
+def truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = transcript(spark, sf_dir).where("role = 'tool'")
+    return log.select("session_id", "idx", rewrites.truncate(F.col("content"), 25).alias("truncated"))
+
+
+def slimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = transcript(spark, sf_dir).where("tool_name = 'browser_snapshot' and role = 'tool'")
+    return log.select("session_id", "idx", rewrites.slim(F.col("content"), 60).alias("slimmed"))
+
+
+QUERIES = {
+    "w10_tab_states": tab_states,
+    "f19_truncated": truncations,
+    "x11_slimmed": slimmed,
+    "j02_unit_pairs": lambda spark, sf_dir: rewrites.unit_pairs(transcript(spark, sf_dir)),
+    "st15_client_compaction": lambda spark, sf_dir: rewrites.client_compaction(sized(spark, sf_dir), 900, 300),
+    "st03_session_plans": plans, "a11_plan_actions": plan_actions, "x19_superseded": replaced, "st07_calibration": calibrated,
+}
 SQL: dict[str, str] = {}
