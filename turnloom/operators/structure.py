@@ -38,17 +38,21 @@ def is_prior_summary(role: Column, content: Column) -> Column:
     return (role == "user") & F.coalesce(content, F.lit("")).startswith(SUMMARY_HEADER)
 
 
-def head_end(log: DataFrame) -> DataFrame:
-    """session_id, n, h: the first assistant (or n), less the prior summaries right before it."""
+def with_head(log: DataFrame) -> DataFrame:
+    """The log with n and h: the first assistant (or n), less the prior summaries right before it.
+
+    Windows over the session alone, so that all that follows shares their one exchange.
+    """
     first = F.min(F.when(F.col("role") == "assistant", F.col("idx"))).over(whole())
     marked = log.withColumns({"n": F.count(F.lit(1)).over(whole()), "a": first}).withColumn("a", F.coalesce("a", F.col("n")).cast("int"))
     # the last message of the head that is no summary ends it
     solid = F.max(F.when((F.col("idx") < F.col("a")) & ~is_prior_summary(F.col("role"), F.col("content")), F.col("idx") + 1))
-    return marked.groupBy("session_id").agg(F.first("n").cast("long").alias("n"), F.coalesce(solid, F.lit(0)).cast("int").alias("h"))
+    return marked.withColumn("h", F.coalesce(solid.over(whole()), F.lit(0)).cast("int")).drop("a")
 
 
-def with_head(log: DataFrame) -> DataFrame:
-    return log.join(head_end(log), "session_id")
+def head_end(log: DataFrame) -> DataFrame:
+    """session_id, n, h of each session."""
+    return with_head(log).groupBy("session_id").agg(F.first("n").cast("long").alias("n"), F.first("h").alias("h"))
 
 
 def units(log: DataFrame) -> DataFrame:
@@ -62,13 +66,16 @@ def units(log: DataFrame) -> DataFrame:
     )
 
 
+def with_kept_start(log: DataFrame, keep: int) -> DataFrame:
+    """The log with its head and start: of the keep newest assistant units; of the oldest if there are fewer, else h."""
+    body = with_head(log)
+    opened = F.when((F.col("role") == "assistant") & (F.col("idx") >= F.col("h")), F.col("idx"))
+    newest = F.sort_array(F.collect_list(opened).over(whole()), asc=False)
+    return body.withColumn("start", F.coalesce(F.try_element_at(F.slice(newest, 1, max(1, keep)), F.lit(-1)), F.col("h")))
+
+
 def kept_start(log: DataFrame, keep: int) -> DataFrame:
-    """session_id, start of the keep newest assistant units; the oldest if there are fewer, else the head's end."""
-    u = units(log)
-    newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("start")))
-    ranked = u.where("kind = 'assistant'").withColumn("age", newest).where(F.col("age") <= max(1, keep))
-    found = ranked.groupBy("session_id").agg(F.min("start").alias("s"))
-    return head_end(log).join(found, "session_id", "left").select("session_id", F.coalesce("s", "h").alias("start"))
+    return with_kept_start(log, keep).groupBy("session_id").agg(F.first("start").alias("start"))
 
 
 def boundaries(log: DataFrame) -> DataFrame:
@@ -78,36 +85,33 @@ def boundaries(log: DataFrame) -> DataFrame:
     return turn.select("session_id", F.col("idx").alias("b")).unionByName(end)
 
 
-def calls(log: DataFrame) -> DataFrame:
-    """One row per call: session_id, idx, pos, id, tool_name."""
+def calls(log: DataFrame, *more: str) -> DataFrame:
+    """One row per call: session_id, idx, pos, id, tool_name, and further columns of its message."""
     ids = F.filter(F.array("call_id", "call_id2"), lambda c: c.isNotNull())
-    return log.where("role = 'assistant'").select("session_id", "idx", "tool_name", F.posexplode(ids).alias("pos", "id"))
+    return log.where("role = 'assistant'").select("session_id", "idx", "tool_name", *more, F.posexplode(ids).alias("pos", "id"))
 
 
 def call_for(log: DataFrame) -> DataFrame:
     """Each tool result with the nearest assistant before it that made its call; a user's message ends the search.
 
-    A backward as-of join made of an equi-join on (session, segment, id), where a segment ends at each message of a user,
-    system or developer.
+    A backward as-of join as one running maximum: calls and results of a session meet in the order of their messages, by
+    segment and id, where a segment ends at each message of a user, system or developer.
     """
     closed = F.sum(F.col("role").isin("user", "system", "developer").cast("int")).over(up_to())
     seg = log.withColumn("segment", closed)
-    made = calls(seg.withColumn("x", F.lit(0))).dropDuplicates(["session_id", "idx", "id"])
-    made = made.join(seg.select("session_id", "idx", "segment"), ["session_id", "idx"])
-    made = made.select("session_id", "segment", "id", F.col("idx").alias("call_idx"), F.col("tool_name").alias("call_tool"))
-    results = seg.where(is_result(F.col("role"))).select("session_id", "segment", F.col("call_id").alias("id"), F.col("idx").alias("result_idx"))
-    near = made.join(results, ["session_id", "segment", "id"]).where("call_idx < result_idx")
-    near = near.groupBy("session_id", "result_idx").agg(F.max("call_idx").alias("call_idx"), F.max_by("call_tool", "call_idx").alias("tool_name"))
-    return results.select("session_id", "result_idx", "id").join(near, ["session_id", "result_idx"], "left")
+    made = calls(seg, "segment").select("session_id", "segment", "id", "idx", F.struct("idx", "tool_name").alias("made"), F.lit(False).alias("asks"))
+    asked = seg.where(is_result(F.col("role"))).select("session_id", "segment", F.col("call_id").alias("id"), "idx", F.lit(None).cast("struct<idx:int,tool_name:string>").alias("made"), F.lit(True).alias("asks"))
+    before = Window.partitionBy("session_id", "segment", "id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    near = made.unionByName(asked).withColumn("near", F.max("made").over(before)).where("asks")
+    return near.select("session_id", F.col("idx").alias("result_idx"), "id", F.col("near.idx").alias("call_idx"), F.col("near.tool_name").alias("tool_name"))
 
 
 def pairing_defects(log: DataFrame) -> DataFrame:
     """session_id, kind, id, n: the multiset of orphan, dup and unanswered ids; only role tool answers."""
-    seg = log.withColumn("segment", F.sum((F.col("role") != "tool").cast("int")).over(up_to()))
-    last = seg.groupBy("session_id").agg(F.max("segment").alias("last"))
-    asked = calls(seg).join(seg.select("session_id", "idx", "segment"), ["session_id", "idx"]).select("session_id", "segment", "id", F.lit(1).alias("c"), F.lit(0).alias("a"))
-    given = seg.where("role = 'tool'").select("session_id", "segment", F.col("call_id").alias("id"), F.lit(0).alias("c"), F.lit(1).alias("a"))
-    t = asked.unionByName(given).groupBy("session_id", "segment", "id").agg(F.sum("c").alias("c"), F.sum("a").alias("a")).join(last, "session_id")
+    seg = log.withColumn("segment", F.sum((F.col("role") != "tool").cast("int")).over(up_to())).withColumn("last", F.max("segment").over(whole()))
+    sides = F.when(F.col("role") == "assistant", F.filter(F.array("call_id", "call_id2"), lambda c: c.isNotNull())).when(F.col("role") == "tool", F.array("call_id"))
+    told = seg.select("session_id", "segment", "last", (F.col("role") == "tool").cast("int").alias("a"), F.explode(sides).alias("id"))
+    t = told.groupBy("session_id", "segment", "last", "id").agg(F.sum(1 - F.col("a")).alias("c"), F.sum("a").alias("a"))
     found = F.array(
         F.struct(F.lit("orphan").alias("kind"), F.greatest(F.col("a") - F.col("c"), F.lit(0)).alias("n")),
         F.struct(F.lit("dup").alias("kind"), F.greatest(F.col("c") - 1, F.lit(0)).alias("n")),
@@ -144,9 +148,8 @@ def superseded_snapshots(log: DataFrame) -> DataFrame:
 
 def cut_walk(log: DataFrame, size: Column, limit: int) -> DataFrame:
     """session_id, cut: the start of the oldest unit such that it and all newer ones fit the limit."""
-    sized = log.select("session_id", "idx", size.alias("size"))
-    per_unit = units(log).join(sized, "session_id").where("idx >= start and idx < stop").groupBy("session_id", "unit", "start").agg(F.sum("size").alias("size"))
-    newer = F.sum("size").over(Window.partitionBy("session_id").orderBy(F.desc("unit")))
-    fits = per_unit.withColumn("sum", newer).where(F.col("sum") <= limit).groupBy("session_id").agg(F.min("start").alias("cut"))
-    end = log.groupBy("session_id").agg((F.max("idx") + 1).alias("n"))
-    return end.join(fits, "session_id", "left").select("session_id", F.coalesce("cut", "n").alias("cut"))
+    body = with_head(log)
+    newer = F.sum(size).over(Window.partitionBy("session_id").orderBy(F.desc("idx")))
+    opens = (F.col("idx") >= F.col("h")) & (starts_unit(F.col("role")) | (F.col("idx") == F.col("h")))
+    fits = F.min(F.when(opens & (F.col("sum") <= limit), F.col("idx")))
+    return body.withColumn("sum", newer).groupBy("session_id").agg(F.coalesce(fits, F.first("n")).cast("int").alias("cut"))

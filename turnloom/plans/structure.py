@@ -24,7 +24,7 @@ def latest_state(log: DataFrame) -> DataFrame:
 
 def retention(log: DataFrame) -> DataFrame:
     """Messages per disposition: verbatim in head and tail (four newest units), else by role and size."""
-    placed = s.with_head(log).join(s.kept_start(log, 4), "session_id")
+    placed = s.with_kept_start(log, 4)
     d = (
         F.when((F.col("idx") < F.col("h")) | (F.col("idx") >= F.col("start")), "verbatim")
         .when((F.col("role") == "tool") & (F.length("content") > 100), "excerpted")
