@@ -140,6 +140,22 @@ def test_drop_near(spark):
     assert neardup.drop_near(frame(spark, docs).where("false")).count() == 0
 
 
+def test_drop_near_by_row(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = [(7, one), (None, one + " end"), (None, two), (None, "unrelated words"), (None, three), (None, three + " end")]
+    docs += [(9, two + " more"), (3, "a text of its own"), (3, one + " again"), (1, "first"), (3, "third text"), (3, "third text"), (None, None), (None, ""), (None, "")]
+    by_row = [(i, b) for i, (_, b) in enumerate(docs)]
+    groups, want = defaultdict(list), Counter()
+    for d, c in zip(docs, brute_near(by_row)[1], strict=True):
+        groups[c].append(d)
+    for members in groups.values():
+        want[min((a for a, _ in members if a is not None), default=None)] += 1
+    out = neardup.drop_near(frame(spark, docs)).collect()
+    assert Counter(r["doc_id"] for r in out) == want and Counter((r["doc_id"], r["text"]) for r in out) <= Counter(docs)
+    kept = neardup.near_groups(frame(spark, docs)).where("kept").collect()
+    assert Counter(r["doc_id"] for r in kept) == want
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(100, 180)] + [(500, 3), (500, 7), (9, 9)]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}

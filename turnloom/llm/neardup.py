@@ -21,7 +21,8 @@ Components come from large-star and small-star steps over the links, a written t
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a single word is a shingle by
 itself; repeated rows and equal texts are one class; rows with null doc_id take part, and the smallest known doc_id names
 a component (null if none is known); an empty table gives an empty result; other columns are not read, and ``drop_near``
-passes them on. Rows that share a doc_id are held for one document when ``drop_near`` picks who stays.
+passes them on. Who stays is decided by row: of each component the row with the smallest doc_id (nulls last), of several
+one; of rows that repeat both doc_id and text, one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, packed, read
@@ -95,8 +96,13 @@ def _digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def text_key(text: Column) -> Column:
+    """A digest of the whole text, which with doc_id finds a row again."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n, digest, registers for every row; written out, so that rid is stable."""
+    """rid, doc_id, text_key, n, digest, registers for every row; written out, so that rid is stable."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
@@ -112,12 +118,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ns.append(n)
             n = batch.num_rows
             yield pa.record_batch(
-                [pa.array(rid + np.arange(n)), batch.column("doc_id"), pa.array(np.concatenate(ns)), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())],
-                names=["rid", "doc_id", "n", "digest", "registers"],
+                [pa.array(rid + np.arange(n)), batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(ns)), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())],
+                names=["rid", "doc_id", "text_key", "n", "digest", "registers"],
             )
             rid += n
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(rows, "rid long, doc_id long, n long, digest binary, registers binary"), "sketches")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return materialize(keyed.mapInArrow(rows, "rid long, doc_id long, text_key binary, n long, digest binary, registers binary"), "sketches")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -251,10 +258,14 @@ def _compare(cell: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n, digest, component_id for every row of docs(doc_id, text)."""
+    """rid, doc_id, text_key, n, digest, component_id, kept for every row of docs(doc_id, text).
+
+    kept is true for one row of each component: the smallest known doc_id, then the smallest rid.
+    """
     rows = sketches(docs)
     filled = rows.where("n > 0")
-    classes = filled.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    ahead = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
+    classes = filled.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min(ahead).alias("ahead"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = materialize(classes, "classes")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
@@ -308,25 +319,33 @@ def near_groups(docs: DataFrame) -> DataFrame:
             more = more.unionByName(linked_components(whole, grown, sets, 2 * (n_pairs + total["whole"])))
         roots = components(links.unionByName(more))
 
-    named = classes.join(roots, classes["rid"] == roots["node"], "left").select("digest", "doc_id", F.coalesce("root", "rid").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id")
-    out = rows.where("n > 0").select("rid", "doc_id", "n", "digest").join(named, "digest")
-    return out.unionByName(rows.where("n = 0").select("rid", "doc_id", "n", "digest", F.col("doc_id").alias("component_id")))
+    named = classes.join(roots, classes["rid"] == roots["node"], "left").select("digest", "ahead", F.coalesce("root", "rid").alias("root"))
+    least = named.groupBy("root").agg(F.min("ahead").alias("least"))
+    named = named.join(least, "root").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("survivor"))
+    row = ["rid", "doc_id", "text_key", "n", "digest"]
+    out = filled.select(*row).join(named, "digest").select(*row, "component_id", (F.col("rid") == F.col("survivor")).alias("kept"))
+    return out.unionByName(rows.where("n = 0").select(*row, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component; columns unchanged."""
-    groups = materialize(near_groups(docs), "near-groups")
-    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-    if groups.where("n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
-        first = groups.where("n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"))
-        once = docs["doc_id"].eqNullSafe(first["__id"])
-        out = out.join(first, once, "left_anti").unionByName(out.join(first, once, "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    """docs with one row of each component; columns unchanged."""
+    groups = materialize(near_groups(docs).where("n > 0").select("doc_id", "text_key", "kept"), "near-groups")
+    # rows that repeat both doc_id and text are in one component, so a pair stays or goes as a whole
+    pairs = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
+    pairs = materialize(pairs.where("not kept or c > 1"), "near-pairs")
+    # whole rows travel as one column, so that no name of theirs meets one of ours
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.struct("*").alias("row"))
+
+    def joined(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["__id"]) & (rows["text_key"] == some["__key"]), how)
+
+    out = joined(keyed, pairs.where("not kept"), "left_anti")
+    repeated = pairs.where("kept")
+    if repeated.limit(1).count():
+        out = joined(out, repeated, "left_anti").unionByName(joined(out, repeated, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return out.select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(read(spark, sf_dir, "documents"))
-    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
