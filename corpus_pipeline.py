@@ -15,6 +15,9 @@ from turnloom.llm import dedup, mixing, neardup, packing, quality
 from turnloom.llm.common import materialize, read
 from turnloom.llm.tokens import TOKENIZER
 
+#: Words of a shingle in the near-duplicate stage; two words are op6's own contract.
+SHINGLE = 5
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -25,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near(docs)
+    return neardup.drop_near(docs, SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from turnloom.llm import dedup, neardup
 from turnloom.llm.words import shingle_sets
 
@@ -179,3 +180,23 @@ def test_shingle_sets():
     texts = ["The the cat", None, "", "one", "a b a b", "x" * 300000 + " y"]
     got = [n for _, b in shingle_sets(texts) for n in np.diff(b).tolist()]
     assert got == [len(shingles(t)) for t in texts]
+
+
+def test_shingle_sets_of_five_words():
+    def brute(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    texts = ["a b c d e f", "A b c d e", "b c d e f", None, "a b c", "a b c d", "", "one", "x y " * 50, "x y x y"]
+    got = [s for sets, b in shingle_sets(texts, 5) for s in (set(sets[x:y].tolist()) for x, y in zip(b[:-1], b[1:], strict=True))]
+    want = [brute(t) for t in texts]
+    for a, x in zip(got, want, strict=True):
+        assert [len(a & b) for b in got] == [len(x & y) for y in want]
+
+
+def test_pipeline_stage_compares_five_words(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = [f"new{i}" if i % 25 == 12 else w for i, w in enumerate(words)]  # 8 edits: about 0.85 on two words, 0.66 on five
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:-1] + ["end"]))]
+    assert [brute_near(docs)[1]] == [[1, 1, 1]]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, docs), "").collect()) == [1, 2]

@@ -1,6 +1,7 @@
 """MinHash near-dedup with SetSketch registers.
 
-A document is the set of its two-word shingles (64-bit hashes). Equal sets form a class, found by a digest of the whole
+A document is the set of its shingles of width words (64-bit hashes): two in the query ``op6_near_dedup`` and as the functions'
+default, five in the pipeline's stage. Equal sets form a class, found by a digest of the whole
 set, and go on as one. Each set gets REGISTERS registers: floor(1 - log_B x) of the smallest of its exponential
 variates, cut off at 0 and Q + 1; registers of a union are maxima, and equal registers tell similar sets. BANDS bands of
 ROWS registers put classes into buckets; a pair with Jaccard similarity 0.8 shares no bucket with probability
@@ -18,8 +19,8 @@ What round 2 leaves out is either linked already or shares its component, so no
 
 Components come from large-star and small-star steps over the links, a written table each.
 
-Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a single word is a shingle by
-itself; repeated rows and equal texts are one class; rows with null doc_id take part, and the smallest known doc_id names
+Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than
+the width is one shingle; repeated rows and equal texts are one class; rows with null doc_id take part, and the smallest known doc_id names
 a component (null if none is known); an empty table gives an empty result; other columns are not read, and ``drop_near``
 passes them on. Who stays is decided by row: of each component the row with the smallest doc_id (nulls last), of several
 one; of rows that repeat both doc_id and text, one.
@@ -41,6 +42,8 @@ from .common import materialize, maybe_in, packed, read
 from .tokens import text_batches
 from .words import shingle_sets
 
+#: Words of a shingle.
+WIDTH = 2
 BANDS, ROWS = 36, 4
 REGISTERS = BANDS * ROWS
 #: Parameters of the sketch: base, rate, largest register.
@@ -101,14 +104,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """rid, doc_id, text_key, n, digest, registers for every row; written out, so that rid is stable."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in text_batches(batches):
             ns, digests, registers = [], [], []
-            for sets, bounds in shingle_sets(batch.column("text").to_pylist()):
+            for sets, bounds in shingle_sets(batch.column("text").to_pylist(), width):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 regs = iter(sketch(sets, bounds[np.append(full, len(n))] if len(full) else bounds[:1]))
@@ -127,13 +130,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return materialize(keyed.mapInArrow(rows, "rid long, doc_id long, text_key binary, n long, digest binary, registers binary"), "sketches")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, digest, shingles for every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             at = 0
-            for sets, bounds in shingle_sets(batch.column("text").to_pylist()):
+            for sets, bounds in shingle_sets(batch.column("text").to_pylist(), width):
                 n = len(bounds) - 1
                 digests = [_digest(sets[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
@@ -143,12 +146,12 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, digest binary, shingles array<long>")
 
 
-def sets_of(wanted: DataFrame, rows: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_of(wanted: DataFrame, rows: int, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """rid, shingles for the classes wanted(rid), at most so many rows; written out."""
     wanted = materialize(packed(classes.join(wanted.distinct(), "rid").select("rid", "digest", F.col("doc_id").alias("c_doc_id")), rows), "wanted")
     chosen = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("c_doc_id"))
     chosen = chosen.join(wanted.select("c_doc_id").distinct(), chosen["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_semi")
-    return materialize(full_sets(chosen).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles"), "full-sets")
+    return materialize(full_sets(chosen, width).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles"), "full-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,18 +260,18 @@ def _compare(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "whole": []}).astype({"a": "int64", "b": "int64", "whole": bool})
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """rid, doc_id, text_key, n, digest, component_id, kept for every row of docs(doc_id, text).
 
     kept is true for one row of each component: the smallest known doc_id, then the smallest rid.
     """
-    rows = sketches(docs)
+    rows = sketches(docs, width)
     filled = rows.where("n > 0")
     ahead = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
     classes = filled.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.min(ahead).alias("ahead"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = materialize(classes, "classes")
-    width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
+    size = 2 * ROWS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * size + 1, F.lit(size))))
     keys = classes.select("rid", F.posexplode(bands).alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(buckets, "key"), "members")
@@ -289,7 +292,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = materialize(star.join(side("a"), "a").join(side("b"), "b").mapInPandas(probable, CELL), "star-pairs")
     nodes = lambda p: p.select(F.col("a").alias("rid")).unionByName(p.select(F.col("b").alias("rid")))
     n_pairs = pairs.count()
-    links = verified(pairs, sets_of(nodes(pairs), 2 * n_pairs, classes, docs))
+    links = verified(pairs, sets_of(nodes(pairs), 2 * n_pairs, classes, docs, width))
     roots = components(links)
 
     # round 2: buckets that still hold several components
@@ -313,7 +316,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         involved = nodes(whole).distinct().withColumnRenamed("rid", "root")
         grown = everyone.join(involved, "root", "left_semi").select("rid", "root").unionByName(involved.join(everyone, "root", "left_anti").select(F.col("root").alias("rid"), "root"))
         grown = materialize(packed(grown, 2 * (n_pairs + total["whole"])), "grown")
-        sets = sets_of(nodes(single).unionByName(grown.select("rid")), 2 * (n_pairs + total["n"]), classes, docs)
+        sets = sets_of(nodes(single).unionByName(grown.select("rid")), 2 * (n_pairs + total["n"]), classes, docs, width)
         more = verified(single, sets)
         if total["whole"]:
             more = more.unionByName(linked_components(whole, grown, sets, 2 * (n_pairs + total["whole"])))
@@ -327,9 +330,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.unionByName(rows.where("n = 0").select(*row, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one row of each component; columns unchanged."""
-    groups = materialize(near_groups(docs).where("n > 0").select("doc_id", "text_key", "kept"), "near-groups")
+    groups = materialize(near_groups(docs, width).where("n > 0").select("doc_id", "text_key", "kept"), "near-groups")
     # rows that repeat both doc_id and text are in one component, so a pair stays or goes as a whole
     pairs = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
     pairs = materialize(pairs.where("not kept or c > 1"), "near-pairs")
@@ -347,5 +350,5 @@ def drop_near(docs: DataFrame) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_groups(read(spark, sf_dir, "documents"))
+    groups = near_groups(read(spark, sf_dir, "documents"), 2)
     return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")

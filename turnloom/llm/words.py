@@ -63,17 +63,20 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of texts: sorted distinct two-word shingle hashes, and the bounds of each text's set.
+def shingle_sets(texts: list[str | None], width: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts: sorted distinct hashes of shingles of width words, and the bounds of each text's set.
 
-    A text of one word has that word as its only shingle; a text without words has none.
+    A text of fewer words has all of them as its only shingle; a text without words has none.
     """
     for _, raws in groups(texts):
         buf, starts, ends, bounds = spans([r.lower() for r in raws])
         h = word_hashes(buf, starts, ends)
         n = np.diff(bounds)
-        pair = mix(h[:-1] * np.uint64(3) + mix(h[1:] + np.uint64(1))) if len(h) > 1 else np.zeros(0, np.uint64)
+        # runs[k - 1] has the hash of the k words from each word on
+        runs = [h]
+        for k in range(1, width):
+            runs.append(mix(h[:-k] * np.uint64(3) + mix(runs[-1][1:] + np.uint64(1))) if len(h) > k else np.zeros(0, np.uint64))
         sets = []
         for a, k in zip(bounds[:-1].tolist(), n.tolist(), strict=True):
-            sets.append(np.unique(pair[a : a + k - 1]) if k > 1 else h[a : a + k])
+            sets.append(np.unique(runs[-1][a : a + k - width + 1]) if k >= width else runs[k - 1][a : a + 1] if k else h[:0])
         yield (np.concatenate(sets) if sets else h[:0]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
