@@ -28,6 +28,18 @@ def test_encoder_is_exact(slots):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.whole(t).tolist(), repr(t)
 
 
+def test_encoder_is_the_plain_library():
+    from tokenizers import Tokenizer
+
+    plain, enc, rnd = Tokenizer.from_file(PATH), Encoder(PATH, 64), random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "a", ",", ".", " the", "é"]
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "a <|endof text|> b", "", *("".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(400))]
+    ids, bounds = enc.ids(texts)
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
 def test_encoder_long_texts_and_none():
     enc = Encoder(PATH, 64)
     texts = ["", "word " * 400_000, "", "tail"]

@@ -2,7 +2,8 @@
 
 A unit starts at a space or line feed, at a point or comma behind an ASCII letter, or at the start of a text. The
 byte-level pre-tokenizer never joins characters across such a place, except within runs of three or more white-space
-characters; texts that hold one are encoded whole. Units are found, hashed (64 bits, a polynomial over random byte values) and looked up in a direct-mapped table
+characters; texts that hold one, or the name of an added token such as <|endoftext|> (which the library maps to the token's own id),
+are encoded whole. Units are found, hashed (64 bits, a polynomial over random byte values) and looked up in a direct-mapped table
 with numpy; those not in it go to the library in one joined string, whose ids are cut at the units' ends by the byte
 lengths of the tokens. The table has a fixed size, so memory is bounded.
 """
@@ -44,7 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         n = self.lib.get_vocab_size()
         self.bytes_of = np.array([len(self.lib.id_to_token(i) or "") for i in range(n)], np.int64)
         self.slots = slots
@@ -112,6 +113,8 @@ class Encoder:
         risky = inner[BLANK_LAST[buf[inner - 1]] & (BLANK_FIRST[buf[after]] | is_first[inner + 1])]
         odd = np.zeros(len(part), bool)
         odd[np.searchsorted(ends, risky, "right")] = True
+        # an added token ends the white space before it, so units beside it are not those of a plain text
+        odd |= [any(t in text for t in self.added) for text, _ in part]
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(part), np.int64)
         stops = np.append(starts[1:], len(buf))
