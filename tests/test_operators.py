@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -130,6 +132,29 @@ def test_text_helpers(spark):
     assert one(tokens.content_class, "שלום עולם") == "snapshotNonLatin" and one(tokens.estimate, "") == 0
 
 
+def test_json_prose(spark):
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t"))).first()[0]
+    words = "a long description of what this tool is for"
+    bs = chr(92)
+    texts = [f'{{"k": "{words}"}}', f'{{"k": "{"x" * 60}"}}', f'{{"k": "{words}', f'"{words}{bs}"\n"', f'["{"𝒳 " * 14}", "{bs}" {words}"]', '["' + f'{bs}" ' * 40_000, "[]"]
+    for t in texts:
+        units = "".join(c if ord(c) < 0x10000 else chr(0xE000) * 2 for c in t)
+        found = [] if len(t) > 10_000 else re.findall(r'"(?:[^"\\\n]|\\[^\n\r\u2028\u2029]){40,}"', units)
+        assert one(tokens.json_prose, t) == sum(len(x) for x in found if " " in x)
+    t = texts[0]
+    literal = len(words) + 2
+    assert one(tokens.estimate, t) == math.ceil((literal / 5.0 + (len(t) - literal) / 2.33) * 1.1)
+
+
+def test_document_estimates_by_class(spark, tmp_path):
+    from turnloom.plans.registry import QUERIES
+
+    docs = [(1, "plain words " * 20, 5.0), (2, '{"a": [1, 2, 3]}', 2.33), (3, "const a = 1;\nlet b;", 4.1), (4, "src/a/b.ts\nsrc/c/d.ts", 2.33), (5, "3 passed, 1 failed", 2.5), (6, "שלום עולם", 2.06), (7, None, 1), (8, "", 1)]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["tokens"] for r in QUERIES["x03_document_estimates"](spark, str(tmp_path)).collect()}
+    assert got == {i: math.ceil(len(t or "") / ratio * 1.1) for i, t, ratio in docs}
+
+
 def test_budget_of_the_usual_window(spark):
     lit = lambda n: F.lit(n).cast("long")
     r = spark.range(1).select(*(c.alias(k) for k, c in budget.budget(lit(100000), lit(32000), lit(0), F.lit(None).cast("long")).items())).first()

@@ -129,9 +129,9 @@ def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens per document: the class by its SQL-expressible tests, the estimate by class."""
+    """Tokens per document by its content class. The SQL states the estimate of plain Latin prose only."""
     d = read(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
-    return d.select("doc_id", tokens.estimate(F.col("t"), F.lit("prose")).alias("tokens"))
+    return d.select("doc_id", tokens.estimate(F.col("t")).alias("tokens"))
 
 
 def test_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
