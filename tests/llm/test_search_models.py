@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,13 +16,12 @@ from turnloom.llm import pii, quality, tagger, topk
 
 
 def brute_topk(rows, k=10):
+    """In unbounded integers."""
     scaled = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        w = [math.floor(1024 * x) for x in v]
-        if all(abs(1024 * x) < math.sqrt((2.0**63 - 2048) / max(1, len(v))) for x in v):
-            scaled.append((i, w))
+        scaled.append((i, [math.floor(1024 * Fraction(x)) for x in v]))
     out = []
     for q, v in scaled:
         if q % 100 == 0:
@@ -36,21 +36,32 @@ def test_topk(spark, monkeypatch, blocks):
     f32 = lambda v: [float(np.float32(x)) for x in v]
     rows = [(i, f32(rnd.normal(0, 0.2, 8))) for i in range(500)]
     rows += [(1000 + i, f32(np.full(8, 0.25))) for i in range(60)]  # ties
-    rows += [(100_000, f32(rows[0][1])), (2001, None), (2002, [None] * 8), (2003, [float("nan")] + [0.0] * 7), (2004, [float("inf")] * 8), (None, [0.0] * 8), (2005, []), (2100, []), (2200, [1.0, 2.0]), (2007, [3.0, 4.0]), (2008, [1e30] * 8), (-300, f32(rnd.normal(0, 0.2, 8))), (7, f32(rnd.normal(0, 0.2, 8)))]
+    rows += [(100_000, f32(rows[0][1])), (2001, None), (2002, [None] * 8), (2003, [float("nan")] + [0.0] * 7), (2004, [float("inf")] * 8), (None, [0.0] * 8), (2005, []), (2100, []), (2200, [1.0, 2.0]), (2007, [3.0, 4.0]), (2008, f32([1e12] * 8)), (-300, f32(rnd.normal(0, 0.2, 8))), (7, f32(rnd.normal(0, 0.2, 8)))]
     frame = spark.createDataFrame([(a, b, 1, "x", 3) for a, b in rows], "vec_id long, embedding array<float>, label int, row string, score int")
     out = topk.search(frame, F.col("vec_id") % 100 == 0, 10, *blocks)
     assert sorted(map(tuple, out.collect())) == brute_topk(rows)
     assert topk.search(frame.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_block_with_large_numbers():
+def test_topk_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e10, 2.0]), (2, [0.5, 0.5]), (3, [-1e12, 1.0]), (4, [3.3e-7, 1e11]), (100, [1e9, -1e9]), (5, [1e9, 7.0]), (6, [1e9, 7.5])]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.search(frame(rows), F.col("vec_id") % 100 == 0, 3).collect())) == brute_topk(rows, 3)
+    # a score beyond 64 bits that is not in the result is no error; one that is in it is
+    rows.append((8, [-1e300, 0.0]))
+    assert sorted(map(tuple, topk.search(frame(rows[:3] + rows[-1:]), F.col("vec_id") % 100 == 0, 2).collect())) == brute_topk(rows[:3] + rows[-1:], 2)
+    with pytest.raises(Exception, match="(?i)overflow|cast"):
+        topk.search(frame([(0, [1.0]), (1, [1e300])]), F.col("vec_id") % 100 == 0, 2).collect()
+
+
+def test_bounds_hold():
     rnd = np.random.default_rng(0)
-    v = rnd.integers(-(1 << 28), 1 << 28, (200, 4))
-    edges = np.sort(np.concatenate([v.min(0)[:, None], np.sort(rnd.integers(-(1 << 28), 1 << 28, (4, 15)), 1), v.max(0)[:, None] + 1], axis=1), 1)
-    edges[:, 0], edges[:, -1] = v.min(0), v.max(0) + 1
-    (at, score), = topk.search_block(np.arange(200), v, topk.approximate(v, edges), edges, np.array([-1]), v[:1], 5)
-    want = sorted((-int(s), i) for i, s in enumerate((v.astype(object) @ v[0].astype(object)).tolist()))[:5]
-    assert [(-int(s), int(a)) for a, s in zip(at, score, strict=True)] == want
+    for scale in (1, 1e6, 1e15, 1e150):
+        x, q = topk.scaled(rnd.normal(0, scale, (200, 24))), topk.scaled(rnd.normal(0, scale, (5, 24)))
+        lower, upper = topk.bounds(*topk.approximate(x), q)
+        for i in range(len(q)):
+            exact = [sum(int(a) * int(b) for a, b in zip(r, q[i], strict=True)) for r in x]
+            assert all(lo <= s <= up for lo, s, up in zip(lower[i], exact, upper[i], strict=True))
 
 
 JUNK = ["BUY NOW!! " * 30, "thing*** other$$$ more### " * 20, "again again again again again again " * 12, "a | b | c | d | e " * 20]
