@@ -44,7 +44,7 @@ def test_topk(spark, monkeypatch, blocks):
 
 
 def test_topk_large_components(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1e10, 2.0]), (2, [0.5, 0.5]), (3, [-1e12, 1.0]), (4, [3.3e-7, 1e11]), (100, [1e9, -1e9]), (5, [1e9, 7.0]), (6, [1e9, 7.5])]
+    rows = [(0, [1.0, 2.0]), (1, [1e10, 2.0]), (2, [0.5, 0.5]), (3, [-1e12, 1.0]), (4, [3.3e-7, 1e11]), (100, [3.0, -2.0]), (5, [1e9, 7.0]), (6, [1e9, 7.5])]
     frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.search(frame(rows), F.col("vec_id") % 100 == 0, 3).collect())) == brute_topk(rows, 3)
     # a score beyond 64 bits that is not in the result is no error; one that is in it is
