@@ -10,7 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from turnloom.llm import packing, tokens
+from tokenizers import Tokenizer
+
+from turnloom.llm import encoder, packing, tokens
 from turnloom.llm.encoder import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,9 +30,19 @@ def test_encoder_is_exact(slots):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.whole(t).tolist(), repr(t)
 
 
-def test_encoder_is_the_plain_library():
-    from tokenizers import Tokenizer
+def test_units_that_share_a_hash(monkeypatch):
+    """With every hash alike, the bytes alone tell units apart."""
+    monkeypatch.setattr(encoder, "_MIX", (np.uint64(0),) * encoder.WORDS)
+    monkeypatch.setattr(encoder, "LONG_BYTES", 64)
+    plain, enc, rnd = Tokenizer.from_file(PATH), Encoder(PATH, 16), random.Random(4)
+    parts = [" the", " house", " river", "\0", " a\0", " a", " unquestionably-long-compound-word", "日本語の長い文章です、ほんとうに", "."]
+    for _ in range(30):
+        texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(10)]
+        ids, bounds = enc.ids(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
 
+def test_encoder_is_the_plain_library():
     plain, enc, rnd = Tokenizer.from_file(PATH), Encoder(PATH, 64), random.Random(9)
     parts = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "a", ",", ".", " the", "é"]
     texts = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "a <|endof text|> b", "", *("".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(400))]
@@ -51,8 +63,12 @@ def test_encoder_long_texts_and_none():
 DOCS = [(3, "hello there, world"), (1, None), (2, ""), (1, "again"), (None, "x y"), (9, "the long one. " * 3000), (8, "ties"), (7, "ties"), (7, "ties")]
 
 
+PLAIN = Tokenizer.from_file(PATH)
+
+
 def expected(text):
-    return np.append(Encoder(PATH, 64).whole(text or ""), 0).astype("<u4")
+    """By the library itself."""
+    return np.array([*PLAIN.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_token_table(spark, tmp_path):

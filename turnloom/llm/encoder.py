@@ -3,9 +3,10 @@
 A unit starts at a space or line feed, at a point or comma behind an ASCII letter, or at the start of a text. The
 byte-level pre-tokenizer never joins characters across such a place, except within runs of three or more white-space
 characters; texts that hold one, or the name of an added token such as <|endoftext|> (which the library maps to the token's own id),
-are encoded whole. Units are found, hashed (64 bits, a polynomial over random byte values) and looked up in a direct-mapped table
-with numpy; those not in it go to the library in one joined string, whose ids are cut at the units' ends by the byte
-lengths of the tokens. The table has a fixed size, so memory is bounded.
+are encoded whole. Units are found with numpy and looked up in a direct-mapped table that holds the bytes of each unit
+(WORDS words of eight, and the length) beside its ids: a hash only names the slot, and a unit counts as known if all its bytes are equal.
+Longer units are looked up in a dictionary by their bytes. Units not yet known go to the library in one joined string, whose ids are
+cut at the units' ends by the byte lengths of the tokens. Table and dictionary have a fixed size, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from functools import lru_cache
 import numpy as np
 
 SLOTS, ARENA, CHUNK = 1 << 20, 1 << 23, 1 << 20
+#: Words of eight bytes that the table holds of a unit; most bytes of longer units that the dictionary holds.
+WORDS, LONG_BYTES = 3, 1 << 23
+#: Keeps the first n bytes of a word.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -49,16 +55,14 @@ class Encoder:
         n = self.lib.get_vocab_size()
         self.bytes_of = np.array([len(self.lib.id_to_token(i) or "") for i in range(n)], np.int64)
         self.slots = slots
-        self.values = np.random.default_rng(7).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
-        powers = np.empty(2 * CHUNK, np.uint64)
-        powers[0], powers[1:] = 1, P
-        self.powers = np.multiply.accumulate(powers)
-        powers[1:] = P_INVERSE
-        self.inverses = np.multiply.accumulate(powers)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
+        self.words = np.zeros((WORDS, self.slots), np.uint64)
+        # no unit has length 0: an empty slot equals none
+        self.length = np.zeros(self.slots, np.uint8)
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
         self.at = np.zeros(self.slots, np.int64)
         self.size = np.zeros(self.slots, np.int32)
         self.arena, self.used = np.empty(ARENA, np.uint32), 0
@@ -122,32 +126,9 @@ class Encoder:
         if odd.any():
             keep = ~odd[owner]
             starts, stops, owner = starts[keep], stops[keep], owner[keep]
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.values[buf] * self.powers[: len(buf)], out=sums[1:])
-        h = (sums[stops] - sums[starts]) * self.inverses[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h |= np.uint64(1)
-        slot = (h >> np.uint64(8)).astype(np.int64) % self.slots
-        if self.used > ARENA - 4 * CHUNK:
+        if self.used > ARENA - 4 * CHUNK or self.long_bytes > LONG_BYTES:
             self._clear()
-        missing = np.flatnonzero(self.keys[slot] != h)
-        at, size = self.at[slot], self.size[slot]
-        if len(missing):
-            _, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            units = missing[first]
-            new_at, new_size = self._encode(buf, starts[units], stops[units])
-            at[missing], size[missing] = new_at[back], new_size[back]
-            self.keys[slot[units]], self.at[slot[units]], self.size[slot[units]] = h[units], new_at, new_size
-            # two new units may share a slot; whoever wrote last owns all three fields
-            last = {}
-            s = slot[units]
-            if len(np.unique(s)) < len(s):
-                for i, x in enumerate(s.tolist()):
-                    last[x] = i
-                w = np.fromiter(last.values(), np.int64)
-                self.keys[s[w]], self.at[s[w]], self.size[s[w]] = h[units][w], new_at[w], new_size[w]
+        at, size = self._look_up(joined, buf, starts, stops)
         size = size.astype(np.int64)
         before = np.cumsum(size) - size
         ids = self.arena[np.repeat(at - before, size) + np.arange(size.sum())]
@@ -159,6 +140,57 @@ class Encoder:
             pieces.append(self.whole(text) if odd[i] else ids[cut[i] - count[i] : cut[i]])
         return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
 
+    def _look_up(self, raw: bytes, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the arena and number of the ids of each unit; those not known are encoded first."""
+        length = stops - starts
+        # eight bytes from every place on, as one word
+        words = np.ndarray((len(raw) + 8 * WORDS,), "<u8", raw + bytes(8 * WORDS + 8), strides=(1,))
+        w = [words[starts + 8 * k] & MASKS[np.clip(length - 8 * k, 0, 8)] for k in range(WORDS)]
+        h = length.astype(np.uint64)
+        for word, m in zip(w, _MIX, strict=True):
+            h = (h ^ word) * m
+            h ^= h >> np.uint64(29)
+        slot = (h >> np.uint64(8)).astype(np.int64) % self.slots
+        known = self.length[slot] == length
+        for k in range(WORDS):
+            known &= self.words[k][slot] == w[k]
+        long = length > 8 * WORDS
+        at, size = self.at[slot], self.size[slot]
+        missing = np.flatnonzero(~known & ~long)
+        # equal units side by side; units that only share a hash may be apart, and are then encoded twice
+        missing = missing[np.argsort(h[missing], kind="stable")]
+        fresh = np.ones(len(missing), bool)
+        if len(missing):
+            a, b = missing[1:], missing[:-1]
+            fresh[1:] = length[a] != length[b]
+            for word in w:
+                fresh[1:] |= word[a] != word[b]
+        units = missing[fresh]
+        apart: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(long).tolist():
+            unit = raw[starts[i] : stops[i]]
+            if unit in self.long:
+                at[i], size[i] = self.long[unit]
+            else:
+                apart.setdefault(unit, []).append(i)
+        if not len(units) and not apart:
+            return at, size
+        new = np.concatenate([units, np.array([x[0] for x in apart.values()], np.int64)])
+        new_at, new_size = self._encode(buf, starts[new], stops[new])
+        group = np.cumsum(fresh) - 1
+        at[missing], size[missing] = new_at[group], new_size[group]
+        for (unit, places), a, n in zip(apart.items(), new_at[len(units) :].tolist(), new_size[len(units) :].tolist(), strict=True):
+            at[places], size[places] = a, n
+            self.long[unit] = a, n
+            self.long_bytes += len(unit)
+        # of new units that share a slot one is kept
+        s, first = np.unique(slot[units], return_index=True)
+        kept = units[first]
+        self.length[s], self.at[s], self.size[s] = length[kept], new_at[first], new_size[first]
+        for k in range(WORDS):
+            self.words[k][s] = w[k][kept]
+        return at, size
+
     def _encode(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the ids of distinct units into the arena."""
         n = len(starts)
