@@ -90,6 +90,59 @@ def test_quality(spark):
     assert quality.scores(frame.where("false")).count() == 0
 
 
+def test_draw():
+    # ten billion rows and more: the expected draw stays near twice the sample
+    for total in (10**10, 10**12, 3 * 10**9, 10**7):
+        assert abs(quality.threshold(3000, total) / quality.SPAN * total - 6000) < 1e-3
+    assert quality.threshold(3000, 6000) == quality.threshold(3000, 0) == quality.SPAN
+
+
+def test_draw_is_by_content(spark):
+    rnd = random.Random(3)
+    texts = [prose(rnd, 30) for _ in range(50)]
+    rows = [(t,) for t in texts for _ in range(3)] + [(texts[0],)] * 500 + [(None,), ("",)]
+    one = [r["text"] for r in quality.drawn(spark.createDataFrame(rows, "text string"), 20).collect()]
+    rnd.shuffle(rows)
+    other = [r["text"] for r in quality.drawn(spark.createDataFrame(rows, "text string").repartition(7), 20).collect()]
+    assert sorted(one) == sorted(other) and len(set(one)) == 20
+    # one text alone is found whatever its hash
+    weights, prior, _ = quality.fit(spark.createDataFrame([(texts[0],)] * 40, "text string"), 1)
+    assert np.abs(weights).sum() > 0
+
+
+def brute_scores(texts, weights, prior):
+    """The scorer, text by text and character by character."""
+    out = []
+    for text in texts:
+        raw = (text or "").encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+        if not words:
+            out.append(0.0)
+            continue
+        kind = quality.CLASS[np.frombuffer(raw, np.uint8)].tolist()
+        runs = [(kind[i] << 12) | (kind[i + 1] << 8) | (kind[i + 2] << 4) | kind[i + 3] for i in range(len(kind) - 3)]
+        linear = sum(float(weights[quality.HASHED[r]]) for r in runs) / max(1, len(runs))
+        repeats = sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)) / max(1, len(words) - 1)
+        odd = 0
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            k = kind[m.start() : m.end()]
+            odd += any(quality.ODD[c] for c in m[0]) or sum(x == quality.UPPER for x in k) > 1
+        linear = 4 * (linear + repeats * weights[quality.DIM] + odd / len(words) * weights[quality.DIM + 1] + 0.25 * weights[quality.DIM + 2])
+        share = len(words) / (len(words) + quality.HALF)
+        out.append(1 / (1 + math.exp(-(share * linear + (1 - share) * prior))))
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    rnd = random.Random(8)
+    texts = [prose(rnd) if i % 3 else rnd.choice(JUNK) for i in range(60)] + [None, "", " ", "One", "É è ñ! Ü?", "a\tb\nc d", "AB cd EF", prose(rnd, 4000), "x"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    weights, prior, _ = quality.fit(frame)
+    want = brute_scores(texts, weights, prior)
+    got = {r["doc_id"]: r for r in quality.scores(frame).collect()}
+    assert all(abs(got[i]["score"] - s) < 1e-6 and got[i]["keep"] == (s >= quality.KEEP) for i, s in enumerate(want))
+
+
 def test_quality_held_out(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")

@@ -2,13 +2,14 @@
 
 Each document gets votes (0 bad, 1 good, 2 none) from overlapping heuristics. The votes of all documents are counted by
 pattern (at most 3^7 rows, whatever the input); expectation-maximisation over these counts estimates how each labeller
-votes on good and on bad documents, and gives every pattern a posterior. The posterior labels of a sample of about SAMPLE
-documents (the bound is a parameter) train a logistic scorer over hashed runs of four character classes and two shape
+votes on good and on bad documents, and gives every pattern a posterior. The posterior labels of a sample of at most SAMPLE
+different texts (the bound is a parameter), those whose hashes are smallest, whatever the layout of the files, train a logistic scorer over hashed runs of four character classes and two shape
 features; the scorer then judges every document, whole. Few words are little evidence: a text of n words counts with
 n / (n + HALF), and the share of good documents, as the votes have it, with the rest.
 
-Edge cases: texts without words (null, empty, blank) are rejected with score 0 and take no part in training; repeated
-rows are judged each; an empty table gives an empty result; other columns pass through ``keep_good``.
+Edge cases: texts without words (null, empty, blank) are rejected with score 0 and take no part in training; very long
+texts are judged whole, a text at a time; null doc_ids are kept as they are; a score of exactly KEEP keeps the document; repeated
+rows are judged each and alike, and train as one text; an empty table gives an empty result; other columns pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, word_count
 from .words import groups, spans, word_hashes
 
 SAMPLE, DIM, KEEP, HALF = 3000, 4096, 0.5, 24
@@ -153,6 +154,25 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 4.0
     return w
 
 
+SPAN = 1 << 60
+SAMPLED = "pattern int, at array<int>, x array<float>"
+
+
+def text_hash() -> Column:
+    """A number below SPAN from the text alone."""
+    return F.xxhash64("text").bitwiseAND(F.lit(SPAN - 1))
+
+
+def threshold(sample: int, total: int) -> int:
+    """Hashes below it are about twice as many as the sample, among so many rows; all hashes if that is more than there are."""
+    return SPAN if 2 * sample >= total else SPAN * 2 * sample // total
+
+
+def drawn(text: DataFrame, sample: int) -> DataFrame:
+    """The sample different texts with the smallest hashes, of those with words."""
+    return text.where(word_count(F.col("text")) > 0).withColumn("__hash", text_hash()).dropDuplicates(["__hash"]).orderBy("__hash").limit(sample).select("text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
     """Scorer weights, the log odds of a good document, and the posterior by pattern."""
     text = docs.select("text")
@@ -170,10 +190,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.nd
                 p = _pattern(votes(t))[t["words"] > 0]
                 yield pd.DataFrame({"pattern": p, "at": [np.flatnonzero(r).astype(np.int32) for r in x], "x": [r[r != 0] for r in x]})
 
-    share = min(1.0, sample / max(total, 1))
-    # a hash of the row's place, so that many rows of one id are not drawn as one
-    drawn = text.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample)
-    rows = drawn.mapInPandas(sampled, "pattern int, at array<int>, x array<float>").toPandas()
+    rows = drawn(text.where(text_hash() < threshold(sample, total)), sample).mapInPandas(sampled, SAMPLED).toPandas()
+    if not len(rows):  # few different texts, none of which has a small hash
+        rows = drawn(text, sample).mapInPandas(sampled, SAMPLED).toPandas()
     x = np.zeros((len(rows), DIM + 3), np.float32)
     for i, (at, v) in enumerate(zip(rows["at"], rows["x"], strict=True)):
         x[i, at] = v
@@ -186,7 +205,9 @@ def judge(texts: list[str | None], weights: np.ndarray, prior: float) -> tuple[n
     for _, raws in groups(texts):
         t, codes, first, runs = measures(raws)
         sums = np.concatenate([[0], np.cumsum(weights[codes].astype(np.float64))])
-        score = (sums[first + runs] - sums[np.minimum(first, len(sums) - 1)]) / np.maximum(runs, 1) if len(codes) else np.zeros(len(t))
+        # a text of few bytes at the end has no run and begins behind them all
+        first = np.minimum(first, len(codes))
+        score = (sums[first + runs] - sums[first]) / np.maximum(runs, 1)
         score = 4 * (score + t["repeats"] * weights[DIM] + t["odd"] * weights[DIM + 1] + 0.25 * weights[DIM + 2])
         evidence = t["words"] / (t["words"] + HALF)
         score = evidence * score + (1 - evidence) * prior

@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def groups(texts: list[str | None], limit: int = LIMIT) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about limit bytes, lower-cased in A-Z, each with the index of its first text."""
+    """Runs of texts of about limit bytes in UTF-8, each with the index of its first text."""
     part, first, size = [], 0, 0
     for i, text in enumerate(texts):
         raw = (text or "").encode()
