@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it is unset, a folder of our own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="turnloom-")
@@ -74,6 +76,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def unit_hash(seed: str, key: Column) -> Column:
-    """A long in 0 .. 2^60 - 1 from the SHA-256 of seed and key, alike in any engine."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))), 256), 1, 15), 16, 10).cast("long")
+def unit_hash(seed: str, *keys: Column) -> Column:
+    """A long in 0 .. 2^60 - 1 from the SHA-256 of seed and keys, alike in any engine."""
+    texts = [F.coalesce(k.cast("string"), F.lit("null")) for k in keys]
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.concat_ws(":", *texts)), 256), 1, 15), 16, 10).cast("long")

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
     "op10_shard": sharding.op10_shard,
 }
-SQL = {"op1_topk": topk.SQL, "op3_url_filter": urls.SQL, "op4_exact_dedup": dedup.SQL, "op7_mix": mixing.SQL}
+SQL = {"op1_topk": topk.SQL, "op3_url_filter": urls.SQL, "op4_exact_dedup": dedup.SQL, "op7_mix": mixing.SQL, "op10_shard": sharding.SQL}
