@@ -36,6 +36,7 @@ def test_topk(spark, monkeypatch, blocks):
     f32 = lambda v: [float(np.float32(x)) for x in v]
     rows = [(i, f32(rnd.normal(0, 0.2, 8))) for i in range(500)]
     rows += [(1000 + i, f32(np.full(8, 0.25))) for i in range(60)]  # ties
+    rows += [(900, f32(np.full(8, 0.5)))] * 30 + [(901 + i % 7, f32(np.full(8, 0.5))) for i in range(40)]  # copies with repeated ids
     rows += [(100_000, f32(rows[0][1])), (2001, None), (2002, [None] * 8), (2003, [float("nan")] + [0.0] * 7), (2004, [float("inf")] * 8), (None, [0.0] * 8), (2005, []), (2100, []), (2200, [1.0, 2.0]), (2007, [3.0, 4.0]), (2008, f32([1e12] * 8)), (-300, f32(rnd.normal(0, 0.2, 8))), (7, f32(rnd.normal(0, 0.2, 8)))]
     frame = spark.createDataFrame([(a, b, 1, "x", 3) for a, b in rows], "vec_id long, embedding array<float>, label int, row string, score int")
     out = topk.search(frame, F.col("vec_id") % 100 == 0, 10, *blocks)

@@ -5,6 +5,7 @@ keeps one byte per component, with the range's lower end and the width of a cell
 number, with the sums of q's positive and of its negative components, bounds the vector's score from both sides; one
 dense product per pair of blocks scans all bounds.
 
+0. Of equal vectors (equal 128-bit digests) only the rows of the k + 1 smallest vec_ids go on, as no other copy can be a result.
 1. Only approximations travel: rows are dealt to data blocks and queries to query blocks of bounded size, and each pair of
    blocks is one task. It takes the k-th largest lower bound as a threshold and returns the ids and bounds of the rows
    whose upper bound reaches it.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -110,6 +112,11 @@ def exact_scores(x: pd.Series, q: pd.Series) -> list[int]:
     return out
 
 
+def digest(x: np.ndarray) -> bytes:
+    """Of the scaled vector; 128 bits."""
+    return blake2b((scaled(np.asarray(x, np.float64)) + 0.0).tobytes(), digest_size=16).digest()
+
+
 def _numbers(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -126,9 +133,13 @@ def candidates(v: DataFrame, queries: DataFrame, k: int, data_block: int, query_
                 c, low[at], width[at] = approximate(scaled(np.stack(pdf["x"].to_numpy()[at])))
                 for i, row in zip(at.tolist(), c, strict=True):
                     cells[i] = row.tobytes()
-            yield pdf[["row", "vec_id"]].assign(dim=dims.astype(np.int32), cells=cells, low=low, width=width)
+            yield pdf[["row", "vec_id"]].assign(dim=dims.astype(np.int32), cells=cells, low=low, width=width, digest=[digest(x) for x in pdf["x"]])
 
-    file = materialize(v.mapInPandas(index, "row long, vec_id long, dim int, cells binary, low double, width double"), "vector-file")
+    file = materialize(v.mapInPandas(index, "row long, vec_id long, dim int, cells binary, low double, width double, digest binary"), "vector-file")
+    # of equal vectors only those of the k + 1 smallest vec_ids can be among the best k (one may be the query's own)
+    same = Window.partitionBy("dim", "digest")
+    file = file.withColumn("n", F.row_number().over(Window.partitionBy("dim", "digest", "vec_id").orderBy("row"))).where(F.col("n") <= k)
+    file = file.withColumn("n", F.dense_rank().over(same.orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n", "digest")
     data_blocks = max(LEAST_BLOCKS, -(-file.count() // data_block))
     query_blocks = max(1, -(-queries.count() // query_block))
     left = file.withColumn("b", F.pmod("row", F.lit(data_blocks)).cast("int")).withColumn("qb", _numbers(query_blocks))
