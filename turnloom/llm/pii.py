@@ -4,15 +4,17 @@ Patterns are searched in whole texts, from the left, by kind. Each is written so
 only start where a run of its characters starts, and runs are never tried again from their middle. Matches that fail
 their check (parts of an address over 255, number of digits, Luhn) are dropped.
 
-The tagger reads overlapping windows wherever a text holds a digit, an at sign or a written-out at sign: no kind of
-span, by pattern or as trained, lacks all of these. Windows are decoded one by one and reconciled over the whole text:
-each character takes the tag of the window in whose middle it stands, and spans are read from the joined tags. Tagged
-spans that touch a pattern's match, valid or not, add nothing; the others are added if they have MINIMUM characters.
+The tagger reads the whole of every text in overlapping windows. Windows are decoded one by one and reconciled over the
+whole text: each character takes the tag of the window in whose middle it stands, and spans are read from the joined tags.
+Besides the kinds of the patterns the tagger knows credentials (kind ``secret``), which no pattern looks for. A tagged span
+that touches a pattern's span adds nothing, nor does one of a pattern's kind that touches a dropped match, as the pattern has
+judged that place (a run of digits within a credential is no such judgement); the others are added if they have MINIMUM characters, and card numbers if their digits are 14 to 19 and pass Luhn, as the kind says.
 
-Counts are of the patterns' spans; n_added counts the tagger's.
+Counts by kind are of the patterns' spans; n_secret and n_added count the tagger's.
 
 Edge cases: null and empty texts have no spans; very long texts are read whole, their windows in batches of fixed size;
-repeated rows are judged each; null doc_ids are kept; an empty table gives an empty result; other columns are not read.
+spans that touch go by start, kind and end; repeated rows are judged each; null doc_ids are kept; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .tagger import KINDS, PAD, STRIDE, WINDOW, codes, decode, trained
+from .tagger import DIGITS, KINDS, PAD, STRIDE, WINDOW, codes, decode, trained
 from .tokens import text_batches
 
-MINIMUM, BATCH = 7, 1024
+MINIMUM, BATCH = 7, 2048
 #: What the patterns must equal (fixed values): local part, domain, address, card, telephone number.
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+BASE = KINDS[:4]
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_added long"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -97,29 +99,23 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that hold an anchor in their own half or next to it, and the codes of all of them."""
-    at = np.array([m.start() for m in ANCHOR.finditer(text)], np.int64) // STRIDE
+    """Starts of the windows, which cover the whole text, and the codes of all of them."""
     c = codes(text)
-    blocks = np.unique(np.concatenate([at - 2, at - 1, at, at + 1])) if len(at) else at
-    starts = blocks[(blocks >= 0) & (blocks * STRIDE < len(c))] * STRIDE
+    starts = np.arange(0, max(1, len(c) - (WINDOW - STRIDE) // 2), STRIDE) if len(c) else np.zeros(0, np.int64)
     padded = np.concatenate([c, np.full(WINDOW, PAD, np.uint8)])
     return starts, padded[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), np.uint8)
 
 
 def reconciled(length: int, starts: np.ndarray, tags: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans of a text from its windows' tags; each character belongs to the window in whose middle it stands."""
-    if not len(starts):
+    if not tags.any():
         return []
-    size = int(starts[-1]) + WINDOW
-    base = int(starts[0])
-    whole = np.zeros(size - base, np.int64)
-    quarter = (WINDOW - STRIDE) // 2
-    for edge in (True, False):  # middles overwrite edges
-        for s, row in zip((starts - base).tolist(), tags, strict=True):
-            if edge:
-                whole[s : s + WINDOW] = row
-            else:
-                whole[s + quarter : s + WINDOW - quarter] = row[quarter : WINDOW - quarter]
+    whole = np.zeros(int(starts[-1]) + WINDOW, np.int64)
+    margin = (WINDOW - STRIDE) // 2
+    for s, row in zip(starts.tolist(), tags, strict=True):
+        # the first window has no other before it; what a window says of its end, the next one says again
+        a = margin if s else 0
+        whole[s + a : s + WINDOW] = row[a:]
     out, inked = [], np.flatnonzero(whole)
     i = 0
     while i < len(inked):
@@ -128,36 +124,63 @@ def reconciled(length: int, starts: np.ndarray, tags: np.ndarray) -> list[tuple[
         z = a + 1
         while z < len(whole) and whole[z] == 2 + 2 * kind:
             z += 1
-        if whole[a] % 2 and z + base <= length:
-            out.append((KINDS[kind], a + base, z + base))
+        if whole[a] % 2 and z <= length:
+            out.append((KINDS[kind], a, z))
         i += max(1, z - a)
     return out
 
 
-def tagged(texts: list[str], model: dict[str, np.ndarray]) -> list[list[tuple[str, int, int]]]:
-    """The tagger's spans of each text; windows of many texts are decoded together."""
-    found = [windows(t) for t in texts]
-    x = np.concatenate([w for _, w in found]) if found else np.zeros((0, WINDOW), np.uint8)
-    tags = [decode(model, x[s : s + BATCH]).astype(np.int8) for s in range(0, len(x), BATCH)]
-    tags = np.concatenate(tags) if tags else np.zeros((0, WINDOW), np.int8)
-    cut = np.cumsum([len(s) for s, _ in found])[:-1] if found else []
-    return [reconciled(len(t), s, g) for t, (s, _), g in zip(texts, found, np.split(tags, cut), strict=True)] if found else []
-
-
-def added(text: str, spans: list[tuple[str, int, int]], seen: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Tagged spans clear of every pattern match, trimmed of blanks and with enough characters and substance."""
-    out = []
+def tagged(texts: list[str], model: dict[str, np.ndarray]) -> Iterator[list[tuple[str, int, int]]]:
+    """The tagger's spans of each text; windows of many texts are decoded together, and a long text's in several batches."""
+    cuts = [windows(t) for t in texts]
+    x = np.concatenate([w for _, w in cuts]) if cuts else np.zeros((0, WINDOW), np.uint8)
+    # windows of like length together: what is padding in all of a batch is not read
+    size = (x != PAD).sum(1)
+    order = np.argsort(size, kind="stable")
+    tags = np.zeros(x.shape, np.int8)
+    for s in range(0, len(x), BATCH):
+        at = order[s : s + BATCH]
+        used = max(1, int(size[at[-1]]))
+        tags[at, :used] = decode(model, x[at, :used])
+    at = 0
+    for text, (starts, _) in zip(texts, cuts, strict=True):
+        yield reconciled(len(text), starts, tags[at : at + len(starts)])
+        at += len(starts)
+
+
+def added(text: str, spans: list[tuple[str, int, int]], kept: list[tuple[int, int]], seen: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Tagged spans, in order, clear of the patterns' spans and, for kinds of the patterns, of all their matches; one sweep for each."""
+    secrets = _clear(text, [s for s in spans if s[0] == "secret"], kept)
+    return sorted(secrets + _clear(text, [s for s in spans if s[0] != "secret"], seen), key=lambda s: s[1])
+
+
+def _clear(text: str, spans: list[tuple[str, int, int]], seen: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The spans, trimmed to letters and digits, that touch none of seen."""
+    out, seen, i = [], merged(seen), 0
     for kind, a, z in spans:
-        while z > a and not text[z - 1].isalnum():
+        while z > a and not text[z - 1].isalnum() and not (kind == "secret" and text[z - 1] == "="):
             z -= 1
-        part = text[a:z]
-        digits = sum(c.isdigit() for c in part)
-        sound = ("at)" in part or "at]" in part) if kind == "email" else digits >= {"ip": 4, "card": 14, "phone": 10}[kind] and not any(c.isalpha() for c in part)
-        if z - a >= MINIMUM and sound and not any(a < y and x < z for x, y in seen):
+        while i < len(seen) and seen[i][1] <= a:
+            i += 1
+        if z - a < MINIMUM or (i < len(seen) and seen[i][0] < z):
+            continue
+        digits = "".join(c for c in text[a:z] if c in DIGITS)
+        if kind != "card" or (14 <= len(digits) <= 19 and luhn(digits)):
             out.append((kind, a, z))
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover the same characters."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def find(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text), as SCHEMA says."""
     model = model or trained()
@@ -165,16 +188,14 @@ def find(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFra
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            held = [i for i, t in enumerate(texts) if ANCHOR.search(t)]
-            tags = dict(zip(held, tagged([texts[i] for i in held], model), strict=True))
             out = []
-            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
-                kept, seen = base_spans(text) if i in tags else ([], [])
-                more = added(text, tags.get(i, []), seen)
-                n = {k: sum(s[0] == k for s in kept) for k in KINDS}
-                out.append((doc_id, *n.values(), sha256(joined(kept).encode()).hexdigest(), joined(kept + more), len(more)))
-            columns = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), texts, tagged(texts, model), strict=True):
+                kept, seen = base_spans(text)
+                more = added(text, spans, [s[1:] for s in kept], seen)
+                n = [sum(s[0] == k for s in kept) for k in BASE]
+                out.append((doc_id, *n, sha256(joined(kept).encode()).hexdigest(), joined(kept + more), sum(s[0] == "secret" for s in more), len(more)))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(rows, SCHEMA)
