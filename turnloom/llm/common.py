@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: The six characters that separate words and that normalisation deletes (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
 
+MOST_BITS = 1 << 27
 _own_dirs: dict[str, str] = {}
 
 
@@ -56,12 +57,13 @@ def packed(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
-def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 1 << 23) -> DataFrame:
-    """Rows whose key may be among the wanted keys: a first filter, before rows are shuffled for an exact join.
+def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """Rows whose key may be among at most n wanted keys: a first filter, before rows are shuffled for an exact join.
 
-    The wanted keys set bits of a hash bitmap of at most bits / 8 bytes (1 MB), which is the bound of what is broadcast.
-    A full bitmap lets all rows pass.
+    The wanted keys set bits of a hash bitmap of 8 to 16 bits a key, and of MOST_BITS at most, which is the bound of what is
+    broadcast (16 MB). A full bitmap lets all rows pass.
     """
+    bits = min(MOST_BITS, 1 << max(16, (8 * n).bit_length()))
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
     maps = wanted.select(F.bitmap_bucket_number(place(wanted_key)).alias("__bucket"), F.bitmap_bit_position(place(wanted_key)).alias("__bit"))
     maps = maps.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))

@@ -11,12 +11,18 @@ Links are found in two rounds, neither of which emits the pairs of a bucket:
 1. each class meets the medoid of each of its buckets (the class whose buckets are largest in sum: of a text and its
    altered copies, mostly the text); registers estimate the similarity by maximum likelihood given both set sizes,
    hopeless pairs go, the others are verified on the full sets, and links are joined to components;
-2. in buckets of three or more that still hold several components, classes of different components are compared by their
-   registers, in blocks of bounded size. Likely pairs of small components are verified one by one. A pair with a
-   component of more than SMALL classes only names its two components, and these are compared on the full sets of all
-   their classes, by inverted lists over blocks of bounded size, which give one link for each class at most.
+2. in buckets of three or more that still hold several components, the classes outside the bucket's largest component are
+   compared with all others by their registers, in blocks of bounded size, to which rows are dealt before they meet
+   anything of their bucket. Likely pairs of small components are verified one by one. Of two components of which one has more
+   than SMALL classes the likeliest pair is verified; only where it does not link them, and nothing else did, all their
+   classes are compared on the full sets, by inverted lists over blocks of bounded size, which give one link for each
+   class at most.
 What round 2 leaves out is either linked already or shares its component, so no pair of a bucket is lost.
 
+Links are confirmed on full sets of 64-bit hashes of shingles. Two different shingles of a pair of documents with n
+shingles in all share a hash with probability below n^2 / 2^65, for two documents of a million shingles each below 1e-7;
+the digest that makes equal sets one class has 128 bits.
+
 Components come from large-star and small-star steps over the links, a written table each.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than
@@ -53,6 +59,7 @@ _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 64, REGISTERS, np.uint64, endpoint=False)
 CELL = "a long, b long"
+FOUND = "a long, b long, whole boolean, x long, y long, same long"
 
 
 def sketch(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -149,7 +156,7 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def sets_of(wanted: DataFrame, rows: int, classes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """rid, shingles for the classes wanted(rid), at most so many rows; written out."""
     wanted = materialize(packed(classes.join(wanted.distinct(), "rid").select("rid", "digest", F.col("doc_id").alias("c_doc_id")), rows), "wanted")
-    chosen = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("c_doc_id"))
+    chosen = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("c_doc_id"), rows)
     chosen = chosen.join(wanted.select("c_doc_id").distinct(), chosen["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_semi")
     return materialize(full_sets(chosen, width).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles"), "full-sets")
 
@@ -222,42 +229,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _compare(cell: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs between components within each key of a cell; at most BLOCK rows of each of two blocks a key.
+    """Likely pairs between components within each key, block and chunk of a cell.
 
-    With a component of more than SMALL classes, the pair of components (smaller first) is returned in place of a pair of
-    classes, and whole is true; the likeliest pair stands for all.
+    The rows to place (asks) meet the block's rows of other components; two rows that both ask meet once. With a
+    component of more than SMALL classes, whole is true, and the likeliest pair stands for all pairs of its two
+    components, whose names are x and y (smaller component first).
     """
     out = []
-    for (_, i, j), g in cell.groupby(["key", "i", "j"], sort=False):
-        x = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), BANDS, ROWS)
-        rid, root, n, block, size, band = (g[c].to_numpy() for c in ("rid", "root", "n", "block", "members", "band"))
-        # the largest component needs no turn of its own: all others meet it
-        top = root[np.lexsort((root, size))[-1]]
-        for k in np.flatnonzero(root != top):
-            other = np.flatnonzero((root != root[k]) & ((root == top) | (rid > rid[k])) & ((i == j) | (block != block[k])))
-            equal = x[other] == x[k]
+    for _, g in cell.groupby(["key", "block", "chunk"], sort=False):
+        asked, held = g[g["asks"]], g[~g["asks"]]
+        x = np.frombuffer(b"".join(held["registers"]), np.uint16).reshape(len(held), BANDS, ROWS)
+        rid, root, n, size, top = (held[c].to_numpy() for c in ("rid", "root", "n", "members", "top"))
+        for row in asked.itertuples(index=False):
+            own = np.frombuffer(row.registers, np.uint16).reshape(BANDS, ROWS)
+            other = np.flatnonzero((root != row.root) & ((root == top) | (rid > row.rid)))
+            equal = x[other] == own
             same = equal.sum((1, 2))
             # a pair counts in the first band it shares
-            first = equal.all(2).argmax(1) == band[k]
-            near = first & (same >= LIKELY * REGISTERS) & (100 * np.minimum(n[other], n[k]) >= PERCENT * np.maximum(n[other], n[k]))
+            first = equal.all(2).argmax(1) == row.band
+            near = first & (same >= LIKELY * REGISTERS) & (100 * np.minimum(n[other], row.n) >= PERCENT * np.maximum(n[other], row.n))
             other, same = other[near], same[near]
             if not len(other):
                 continue
-            small = (size[other] <= SMALL) & (size[k] <= SMALL)
+            flat = x[other].reshape(len(other), REGISTERS)
+            ok = likely(np.broadcast_to(own.reshape(REGISTERS), flat.shape), flat, np.full(len(other), row.n), n[other])
+            other, same = other[ok], same[ok]
+            small = (size[other] <= SMALL) & (row.members <= SMALL)
             # of large components, the pair with most equal registers
             picked = np.flatnonzero(~small)
             picked = picked[np.argsort(-same[picked], kind="stable")]
             picked = picked[np.unique(root[other[picked]], return_index=True)[1]]
             at = np.concatenate([np.flatnonzero(small), picked]).astype(np.int64)
             o, whole = other[at], ~small[at]
-            flat = x[o].reshape(len(o), REGISTERS)
-            ok = likely(np.broadcast_to(x[k].reshape(REGISTERS), flat.shape), flat, np.full(len(o), n[k]), n[o])
-            o, whole = o[ok], whole[ok]
-            first = (size[o] < size[k]) | ((size[o] == size[k]) & (root[o] < root[k]))
-            a = np.where(whole, np.where(first, root[o], root[k]), np.maximum(rid[o], rid[k]))
-            b = np.where(whole, np.where(first, root[k], root[o]), np.minimum(rid[o], rid[k]))
-            out.append(pd.DataFrame({"a": a, "b": b, "whole": whole}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "whole": []}).astype({"a": "int64", "b": "int64", "whole": bool})
+            if len(o):
+                ahead = (size[o] < row.members) | ((size[o] == row.members) & (root[o] < row.root))
+                pair = {"a": np.maximum(rid[o], row.rid), "b": np.minimum(rid[o], row.rid), "whole": whole, "x": np.where(ahead, root[o], row.root), "y": np.where(ahead, row.root, root[o]), "same": same[at]}
+                out.append(pd.DataFrame(pair))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype({"whole": bool})
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def other_components(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """FOUND: likely pairs of classes that share a bucket but no component.
+
+    In a bucket the component with most classes (top) asks nothing: all other rows ask, and meet the whole bucket. A
+    bucket's rows are dealt to blocks and the asking ones to chunks, of BLOCK rows each, before anything is joined to the
+    bucket, so that no task gets a large bucket; each chunk meets each block.
+    """
+    sizes = roots.groupBy("root").agg((F.count(F.lit(1)) + 1).cast("int").alias("members"))
+    block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    placed = members.where("size > 2").join(roots, members["rid"] == roots["node"], "left").select("key", "band", "rid", "size", block.alias("block"), F.coalesce("root", "rid").alias("root"))
+    # partial sums first: one row for each component of a bucket and task
+    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.first("size").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks, chunks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int")
+    mixed = materialize(per.select("key", F.col("top.root").alias("top"), blocks.alias("blocks"), chunks.alias("chunks"), "size", (F.col("size") - F.col("top.n")).alias("asking")), "mixed-buckets")
+    work = mixed.agg(F.sum(F.col("size") * F.col("chunks") + F.col("asking") * F.col("blocks"))).first()[0] or 0
+    rows = placed.join(mixed.select("key", "top", "blocks", "chunks", _every(F.col("blocks")).alias("block")), ["key", "block"])
+    rows = rows.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))).drop("size")
+    shape = lambda d, asks: d.select("key", "block", "chunk", "band", "rid", "root", "members", "top", F.lit(asks).alias("asks"))
+    held = shape(rows.withColumn("chunk", _every(F.col("chunks"))), False)
+    asked = rows.where("root <> top").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), "chunks").cast("int")).withColumn("block", _every(F.col("blocks")))
+    cells = held.unionByName(shape(asked, True)).join(classes.select("rid", "n", "registers"), "rid")
+    groups = max(24, -(-work // (8 * BLOCK)))
+    spread = F.pmod(F.xxhash64("key", "block", "chunk"), F.lit(groups))
+    found = materialize(cells.groupBy(spread.alias("cell")).applyInPandas(_compare, FOUND), "cell-pairs")
+    # a pair of large components is found from many sides: its likeliest pair of classes stands for all
+    single = found.where("not whole").select("a", "b").distinct()
+    whole = found.where("whole").groupBy("x", "y").agg(F.max(F.struct("same", "a", "b")).alias("m")).select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), "x", "y")
+    none = F.lit(None).cast("long")
+    return materialize(single.select("a", "b", F.lit(False).alias("whole"), none.alias("x"), none.alias("y")).unionByName(whole.select("a", "b", F.lit(True).alias("whole"), "x", "y")), "likely-pairs")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -296,31 +340,26 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     roots = components(links)
 
     # round 2: buckets that still hold several components
-    sizes = roots.groupBy("root").agg((F.count(F.lit(1)) + 1).cast("int").alias("members"))
-    placed = members.where("size > 2").join(roots, members["rid"] == roots["node"], "left").select("key", "band", "rid", "size", F.coalesce("root", "rid").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    cells = placed.join(mixed, "key").join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    cells = cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "band", "rid", "root", "members", "block", "i", "j")
-    groups = max(24, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))
-    found = cells.join(classes.select("rid", "n", "registers"), "rid").groupBy(spread.alias("cell")).applyInPandas(_compare, f"{CELL}, whole boolean")
-    found = materialize(found.distinct(), "cell-pairs")
+    found = other_components(members, classes, roots)
     total = found.agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("whole")).first()
     if total["n"]:
-        single = found.where("not whole").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-        whole = found.where("whole").select("a", "b")
-        everyone = roots.select(F.col("node").alias("rid"), "root").unionByName(roots.select(F.col("root").alias("rid"), "root").distinct())
-        involved = nodes(whole).distinct().withColumnRenamed("rid", "root")
-        grown = everyone.join(involved, "root", "left_semi").select("rid", "root").unionByName(involved.join(everyone, "root", "left_anti").select(F.col("root").alias("rid"), "root"))
-        grown = materialize(packed(grown, 2 * (n_pairs + total["whole"])), "grown")
-        sets = sets_of(nodes(single).unionByName(grown.select("rid")), 2 * (n_pairs + total["n"]), classes, docs, width)
-        more = verified(single, sets)
+        # first the likely pairs themselves, and of large components the likeliest
+        single = found.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        links = materialize(links.unionByName(verified(single, sets_of(nodes(single), 2 * total["n"], classes, docs, width))), "all-links")
+        before, roots = roots, components(links)
         if total["whole"]:
-            more = more.unionByName(linked_components(whole, grown, sets, 2 * (n_pairs + total["whole"])))
-        roots = components(links.unionByName(more))
+            # then all classes of the components that are still apart
+            renamed = lambda name, new: roots.select(F.col("node").alias(name), F.col("root").alias(new))
+            apart = found.where("whole").select("x", "y").join(renamed("x", "rx"), "x", "left").join(renamed("y", "ry"), "y", "left")
+            apart = materialize(apart.where("coalesce(rx, x) <> coalesce(ry, y)").select(F.col("x").alias("a"), F.col("y").alias("b")), "apart")
+            n_apart = apart.count()
+            if n_apart:
+                everyone = before.select(F.col("node").alias("rid"), "root").unionByName(before.select(F.col("root").alias("rid"), "root").distinct())
+                involved = nodes(apart).distinct().withColumnRenamed("rid", "root")
+                grown = everyone.join(involved, "root", "left_semi").select("rid", "root").unionByName(involved.join(everyone, "root", "left_anti").select(F.col("root").alias("rid"), "root"))
+                grown = materialize(packed(grown, 2 * (n_pairs + n_apart)), "grown")
+                sets = sets_of(grown.select("rid"), 2 * (n_pairs + n_apart), classes, docs, width)
+                roots = components(links.unionByName(linked_components(apart, grown, sets, 2 * (n_pairs + n_apart))))
 
     named = classes.join(roots, classes["rid"] == roots["node"], "left").select("digest", "ahead", F.coalesce("root", "rid").alias("root"))
     least = named.groupBy("root").agg(F.min("ahead").alias("least"))
