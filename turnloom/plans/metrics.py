@@ -8,17 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from turnloom.sources.requests import UPSTREAM_SQL
+from turnloom.sources.store import written
 from turnloom.sources.tables import views
 
 
+#: Fixed value: buckets that a timeline keeps.
+BUCKETS = 2000
+
+
 def by_step() -> WindowSpec:
     return Window.partitionBy("session_id").orderBy("step")
 
 
 
 def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "orders", "lineitem")
-    return spark.sql(UPSTREAM_SQL)
+    def make() -> DataFrame:
+        views(spark, sf_dir, "orders", "lineitem")
+        return spark.sql(UPSTREAM_SQL)
+
+    return written(spark, "upstream", sf_dir, make)
 
 
 def steps(u: DataFrame) -> DataFrame:
@@ -44,15 +52,6 @@ def basics(u: DataFrame) -> DataFrame:
     )
 
 
-def prefix(u: DataFrame) -> DataFrame:
-    """How much of each accepted prompt its predecessor's cache could serve, whole and in blocks of 16."""
-    s = steps(u).where("status = 200")
-    reuse = F.when(F.col("before").isNull(), 0).otherwise(F.least("lcp", "prompt", "before"))
-    return s.withColumn("reuse", reuse).groupBy("session_id").agg(
-        F.sum("reuse").cast("long").alias("hit"), F.sum(F.floor(F.col("reuse") / 16) * 16).cast("long").alias("hit16"), F.sum(F.col("prompt") - F.col("reuse")).cast("long").alias("uncached"), F.sum("prompt").cast("long").alias("prompt")
-    )
-
-
 def rewrites(u: DataFrame) -> DataFrame:
     """Steps whose prompt shrank against the last accepted one, and runs of such steps back to back."""
     s = steps(u).where("before is not null and prompt < before").withColumn("prev", F.lag("step").over(by_step()))
@@ -152,12 +151,12 @@ def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 newest hours with their requests, and how many requests older hours held."""
+    """The 2,000 newest hours with their requests, and how many requests older hours held."""
     views(spark, sf_dir, "events")
     h = spark.table("events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     r = h.withColumn("r", F.row_number().over(Window.orderBy(F.desc("bucket"))))
-    dropped = F.sum(F.when(F.col("r") > 500, F.col("n")).otherwise(0)).over(Window.partitionBy())
-    return r.withColumn("dropped", dropped.cast("long")).where("r <= 500").select("bucket", "n", "dropped")
+    dropped = F.sum(F.when(F.col("r") > BUCKETS, F.col("n")).otherwise(0)).over(Window.partitionBy())
+    return r.withColumn("dropped", dropped.cast("long")).where(F.col("r") <= BUCKETS).select("bucket", "n", "dropped")
 
 
 def judged(u: DataFrame) -> DataFrame:
@@ -177,7 +176,7 @@ def _on(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
 
 
 QUERIES = {
-    "a13_basics": _on(basics), "a14_prefix": _on(prefix), "a15_back_to_back": _on(rewrites), "a16_retries": _on(retries), "a21_timing": _on(timing), "a24_client_errors": _on(errors),
+    "a13_basics": _on(basics), "a15_back_to_back": _on(rewrites), "a16_retries": _on(retries), "a21_timing": _on(timing), "a24_client_errors": _on(errors),
     "a23_headroom": _on(headroom), "a06_status_histogram": _on(histogram), "a22_wilson": _on(wilson), "w15_ring_percentiles": _on(ring), "w16_running_p90": _on(running_p90),
     "a28_chunk_gaps": chunk_gaps, "j13_interval_overlap": overlaps, "w23_distinct_24h": distinct_days, "t05_newest_buckets": newest_buckets, "m12_judge_samples": _on(judged),
     "j10_step_views": _on(lambda u: steps(u).select("session_id", "step", "status", "prompt", "before", "attempts")),
@@ -194,8 +193,6 @@ _DIST = "count(v) AS n, round(quantile_disc(CAST(v AS DOUBLE), 0.5), 1) AS p50,
 SQL = {
     "a13_basics": f"""{_U} SELECT kind, count(*) FILTER (WHERE status = 200) AS accepted, count(*) FILTER (WHERE status <> 200) AS rejected, CAST(coalesce(sum(prompt) FILTER (WHERE status = 200), 0) AS BIGINT) AS prompt_accepted,
   CAST(coalesce(sum(prompt) FILTER (WHERE status <> 200), 0) AS BIGINT) AS prompt_rejected, CAST(coalesce(sum(completion) FILTER (WHERE status = 200), 0) AS BIGINT) AS completion, max(prompt) AS peak FROM u GROUP BY 1""",
-    "a14_prefix": f"""{_STEPS}, r AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE least(lcp, prompt, before) END AS reuse FROM steps WHERE status = 200)
-SELECT session_id, CAST(sum(reuse) AS BIGINT) AS hit, CAST(sum(reuse // 16 * 16) AS BIGINT) AS hit16, CAST(sum(prompt - reuse) AS BIGINT) AS uncached, CAST(sum(prompt) AS BIGINT) AS prompt FROM r GROUP BY 1""",
     "a15_back_to_back": f"""{_STEPS}, s AS (SELECT *, lag(step) OVER (PARTITION BY session_id ORDER BY step) AS prev FROM steps WHERE before IS NOT NULL AND prompt < before),
 i AS (SELECT *, CAST(sum(CASE WHEN prev IS NOT DISTINCT FROM step - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY step) AS BIGINT) AS island FROM s)
 SELECT session_id, island, min(step) AS first, count(*) AS length FROM i GROUP BY 1, 2""",
@@ -217,7 +214,7 @@ SELECT user_id, max(gap) AS worst, quantile_disc(gap, 0.99) AS p99 FROM g WHERE
     "j13_interval_overlap": """SELECT a.user_id, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND b.ts < a.ts + INTERVAL 10 MINUTE GROUP BY 1""",
     "w23_distinct_24h": """WITH w AS (SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS types FROM events) SELECT * FROM w WHERE types >= 2""",
     "t05_newest_buckets": """WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY bucket DESC) AS r FROM h)
-SELECT bucket, n, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM r WHERE r > 500) AS dropped FROM r WHERE r <= 500""",
+SELECT bucket, n, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM r WHERE r > 2000) AS dropped FROM r WHERE r <= 2000""",
     "m12_judge_samples": f"""{_U} SELECT CASE WHEN status <> 200 THEN 'filtered: incomplete' WHEN bytes < greatest(4000, 6100) THEN 'filtered: too small'
   WHEN CAST(prompt * 2 AS DOUBLE) / bytes < 0.5 OR CAST(prompt * 2 AS DOUBLE) / bytes > 2.5 THEN 'mismatch' ELSE 'accepted' END AS verdict, count(*) AS n FROM u GROUP BY 1""",
     "j10_step_views": f"{_STEPS} SELECT session_id, step, status, prompt, before, attempts FROM steps",

@@ -5,26 +5,27 @@ a tool message that answers it. Some results are missing, some come twice, and e
 correction. All text is made from integers, so that every engine makes the same log.
 
 Columns: session_id, idx, role, content, call_id (the assistant's first call, or the call a result answers), call_id2 (a
-second call of the same assistant), tool_name.
+second call of the same assistant), tool_name, arguments (JSON text of the first call).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.sources.store import written
 from turnloom.sources.tables import views
 
 #: Valid in Spark and DuckDB alike; reads the views ``orders`` and ``lineitem``.
 TRANSCRIPT_SQL = """
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY k) - 1 AS INT) AS idx, role, content, call_id, call_id2, tool_name
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY k) - 1 AS INT) AS idx, role, content, call_id, call_id2, tool_name, arguments
 FROM (
   SELECT o_orderkey AS session_id, 0 AS k, 'user' AS role,
          concat('Prepare order ORD-', o_orderkey, ' for customer ', o_custkey, '. Always use staging area ', o_custkey % 97, ' for the boxes. Never ship before review ', o_orderkey % 7, '.') AS content,
-         CAST(NULL AS STRING) AS call_id, CAST(NULL AS STRING) AS call_id2, CAST(NULL AS STRING) AS tool_name
+         CAST(NULL AS STRING) AS call_id, CAST(NULL AS STRING) AS call_id2, CAST(NULL AS STRING) AS tool_name, CAST(NULL AS STRING) AS arguments
   FROM orders
   UNION ALL
   SELECT o_orderkey, 100000, 'user',
-         concat('Correction for ORD-', o_orderkey, ': use staging area ', (o_custkey + 5) % 97, ' instead.'), NULL, NULL, NULL
+         concat('Correction for ORD-', o_orderkey, ': use staging area ', (o_custkey + 5) % 97, ' instead.'), NULL, NULL, NULL, NULL
   FROM orders WHERE o_orderkey % 3 = 0
   UNION ALL
   SELECT l_orderkey, 3 * r - 2, 'assistant',
@@ -33,7 +34,10 @@ FROM (
                     WHEN 2 THEN concat('Looking at part ', l_partkey, '. The shelf is ', l_suppkey % 12, '.')
                     ELSE '' END,
          concat('call_', l_orderkey, '_', r), CASE WHEN l_partkey % 7 = 0 THEN concat('call_', l_orderkey, '_', r, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'b' END) END,
-         CASE l_partkey % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'read_file' ELSE 'browser_snapshot' END
+         CASE l_partkey % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'read_file' ELSE 'browser_snapshot' END,
+         CASE l_partkey % 3 WHEN 0 THEN concat('{"command":"npm test -- mod', l_partkey % 50, '"}')
+           WHEN 1 THEN concat('{"path":"', CASE r % 3 WHEN 0 THEN './' WHEN 1 THEN '/work/' ELSE '' END, 'src/mod', l_partkey % 50, '/file', l_suppkey, '.ts","limit":', l_suppkey % 40, '}')
+           ELSE concat('{"url":"https://shop.example/part/', l_partkey, '"}') END
   FROM numbered
   UNION ALL
   SELECT l_orderkey, 3 * r - 1 + d, 'tool',
@@ -43,7 +47,7 @@ FROM (
            ELSE concat('- Page URL: https://shop.example/part/', l_partkey, '\n- Page Title: Part ', l_partkey, '\n- Page Snapshot:\n', repeat(concat('- button [ref=e', l_suppkey, ']\n'), CASE WHEN l_suppkey % 2 = 0 THEN 12 ELSE 4 END))
          END,
          concat('call_', l_orderkey, '_', r), NULL,
-         CASE l_partkey % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'read_file' ELSE 'browser_snapshot' END
+         CASE l_partkey % 3 WHEN 0 THEN 'run_tests' WHEN 1 THEN 'read_file' ELSE 'browser_snapshot' END, NULL
   FROM numbered CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) AS twice
   WHERE (d = 0 AND NOT (l_returnflag = 'R' AND r % 5 = 0)) OR (d = 1 AND l_returnflag = 'R' AND r % 5 = 1)
 ) AS raw
@@ -60,5 +64,9 @@ WITH_TRANSCRIPT = f"WITH numbered AS ({_NUMBERED_SQL}), transcript AS ({TRANSCRI
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, "transcript", sf_dir, lambda: _transcript(spark, sf_dir))
+
+
+def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders", "lineitem")
     return spark.sql(f"WITH numbered AS ({_NUMBERED_SQL}) {TRANSCRIPT_SQL}")
