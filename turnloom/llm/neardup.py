@@ -268,6 +268,12 @@ def _compare(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype({"whole": bool})
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, row: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined to right, which has one row for each key; a key's many rows on the left are dealt, by their column row, to salts copies of its row."""
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    return left.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "__salt"], how).drop("__salt")
+
+
 def _every(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
@@ -289,7 +295,7 @@ def other_components(members: DataFrame, classes: DataFrame, roots: DataFrame) -
     mixed = materialize(per.select("key", F.col("top.root").alias("top"), blocks.alias("blocks"), chunks.alias("chunks"), "size", (F.col("size") - F.col("top.n")).alias("asking")), "mixed-buckets")
     work = mixed.agg(F.sum(F.col("size") * F.col("chunks") + F.col("asking") * F.col("blocks"))).first()[0] or 0
     rows = placed.join(mixed.select("key", "top", "blocks", "chunks", _every(F.col("blocks")).alias("block")), ["key", "block"])
-    rows = rows.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))).drop("size")
+    rows = salted(rows, sizes, "root", "rid", "left").withColumn("members", F.coalesce("members", F.lit(1))).drop("size")
     shape = lambda d, asks: d.select("key", "block", "chunk", "band", "rid", "root", "members", "top", F.lit(asks).alias("asks"))
     held = shape(rows.withColumn("chunk", _every(F.col("chunks"))), False)
     asked = rows.where("root <> top").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(1)), "chunks").cast("int")).withColumn("block", _every(F.col("blocks")))
@@ -363,7 +369,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     named = classes.join(roots, classes["rid"] == roots["node"], "left").select("digest", "ahead", F.coalesce("root", "rid").alias("root"))
     least = named.groupBy("root").agg(F.min("ahead").alias("least"))
-    named = named.join(least, "root").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("survivor"))
+    named = salted(named, least, "root", "digest").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("survivor"))
     row = ["rid", "doc_id", "text_key", "n", "digest"]
     out = filled.select(*row).join(named, "digest").select(*row, "component_id", (F.col("rid") == F.col("survivor")).alias("kept"))
     return out.unionByName(rows.where("n = 0").select(*row, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
