@@ -65,3 +65,19 @@ def classify(status: Column, body: Column, rules: list = RULES, exclusions: list
     for _, pattern in exclusions:
         excluded = excluded | body.rlike(pattern)
     return {k: F.when(~excluded, v) for k, v in out.items()}
+
+
+def validated(c: dict[str, Column], configured: Column, raw: Column) -> dict[str, Column]:
+    """Numbers of a classified body that may be believed, and why one is refused.
+
+    A prompt's count must lie within 0.8 and 1.25 of our own count, or nothing of the body counts; a window must be lower
+    than the configured one; a limit of the prompt (one less where the server says less than) at least a quarter of it.
+    """
+    prompt, window = c["prompt"], c["window"]
+    limit = F.when(c["rule"] == "tgi.prompt", c["maxInput"] - 1).otherwise(c["maxInput"])
+    in_band = F.coalesce((raw > 0) & (prompt >= 0.8 * raw) & (prompt <= 1.25 * raw), prompt.isNull())
+    window_ok, limit_ok = (window > 0) & (window < configured), (limit >= 0.25 * configured) & (limit < configured)
+    refused = (
+        F.when(~in_band, "prompt").when(window.isNotNull() & ~window_ok, "window").when(window.isNull() & limit.isNotNull() & ~limit_ok, "limit")
+    )
+    return {"window": F.when(in_band & window_ok, window), "max_prompt": F.when(in_band & window.isNull() & limit_ok, limit), "prompt_exact": F.when(in_band, prompt), "refused": refused}

@@ -6,12 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def mask_ascii(text: Column) -> Column:
-    """Letters become x or X, digits 0; white space and punctuation stay, as does anything beyond ASCII."""
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    return F.translate(text, lower + upper + digits, "x" * 26 + "X" * 26 + "0" * 10)
-
-
 def mask_hosts(text: Column) -> Column:
     """Host names of URLs and home folders."""
     return F.regexp_replace(F.regexp_replace(text, r"(https?://)[^/\s\"']+", "$1host"), r"(/home/|/Users/)[^/\s\"']+", "$1user")

