@@ -203,7 +203,13 @@ def test_event_streams(spark):
     [
         ("RULE-A1: keep it short.", "Correction for RULE-A1: keep it long.", [0]),
         ("RULE-A1: keep it short.", "Also keep RULE-A1 friendly.", []),
-        ("Deploy the billing service to staging.", "Actually deploy the billing service to production.", [0]),
+        ("Deploy the billing service to staging.", "Actually, please deploy the billing service to production.", [0]),
+        # a cue that also opens reports, and no directive word: a report
+        ("Deploy the billing service to staging.", "Actually deploy the billing service to production.", []),
+        ("Run the tests after each change.", "Actually, the tests passed now.", []),
+        ("Never print the token.", "The token is not printed anymore.", []),
+        ("Use two workers.", "We no longer need two workers.", [0]),
+        ("Run the payment tests.", "Cancel tests.", []),
         ("Deploy the billing service.", "Should we cancel the billing service?", []),
         ("Run the export job. Keep the import job.", "Cancel the export job.", [0]),
         ("Run the export job.", "Do not cancel the export job.", []),
@@ -216,7 +222,7 @@ def test_supersession(older, later, gone):
 
 
 def test_repeats_go_together():
-    assert sorted(r[:2] for r in supersede.resolve(["Deploy the billing service to staging.", "Deploy  the billing service to staging", "Actually deploy the billing service to production."])) == [(0, 0), (1, 0)]
+    assert sorted(r[:2] for r in supersede.resolve(["Deploy the billing service to staging.", "Deploy  the billing service to staging", "Actually, please deploy the billing service to production."])) == [(0, 0), (1, 0)]
 
 
 def plan_log(n=40, seed=3):

@@ -134,9 +134,15 @@ def thousands(n: Column) -> Column:
     """About n in thousands with one decimal, such as 26.0k; where the whole part held a run that clients retry on, the largest lower value whose does not."""
     tenths = F.round(F.greatest(n, F.lit(0)) / 100).cast("long")
     whole = F.floor(tenths / 10).cast("long")
-    # at most a thousand lower numbers in a row hold a run: 429000 .. 429999 and the like
-    lower = F.filter(F.sequence(whole, F.greatest(whole - 1001, F.lit(0).cast("long")), F.lit(-1).cast("long")), lambda x: ~x.cast("string").rlike(RETRY_RUNS))
-    best = F.when(whole == 0, whole).otherwise(F.element_at(lower, 1))
+
+    def below(x: Column) -> Column:
+        """The largest number below x whose digits up to the end of x's first run are others."""
+        digits = x.cast("string")
+        head = F.regexp_extract(digits, rf"\A(\d*?(?:{RETRY_RUNS}))", 1)
+        return (head.cast("long") * F.pow(F.lit(10), F.length(digits) - F.length(head)).cast("long") - 1).cast("long")
+
+    # a few runs follow one another (504, 503, 502), and a lower number may hold one further on
+    best = F.aggregate(F.sequence(F.lit(1), F.lit(48)), whole, lambda x, _: F.when(x.cast("string").rlike(RETRY_RUNS), below(x)).otherwise(x))
     return F.concat(best.cast("string"), F.lit("."), F.when(best == whole, tenths - whole * 10).otherwise(9).cast("string"), F.lit("k"))
 
 
