@@ -7,7 +7,7 @@ columns or pages. Each row also holds its place within its file, so positions in
 totals: one row per file.
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come first; rows that repeat a doc_id are ordered by
-their texts; very long texts are one row; an empty table gives empty files; other columns are not read.
+the length and a hash of their texts, and equal rows are spread over ranges; very long texts are one row; an empty table gives empty files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,8 +71,10 @@ def write_tokens(docs: DataFrame, out: str, path: str, end: int = END) -> None:
             )
             at += int(bounds[-1])
 
-    order = ["doc_id", F.octet_length("text")]
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    # rows that repeat an id are dealt by their texts, and equal rows by where they come from: no range must take them all
+    order = ["doc_id", F.octet_length("text"), F.xxhash64("text"), "__place"]
+    placed = docs.select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("__place"))
+    sorted_docs = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     writer = sorted_docs.mapInArrow(rows, SCHEMA).write.option("compression", "zstd")
     for key, value in {
         "parquet.block.size": ROW_GROUP,

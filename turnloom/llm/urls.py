@@ -8,7 +8,7 @@ of the rule. The longest rule wins (host plus path in code points, then the long
 Rules are a table; Spark broadcasts it only below its own size threshold and shuffles it otherwise, where AQE may split
 a hot rule's URLs. Only partial aggregates are shuffled: one row per URL.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and gets no rule, hence ``default``. Repeated
+Edge cases: very long URLs are expanded no deeper than the deepest rule; a null URL or one without ``://`` has an empty host and path and gets no rule, hence ``default``. Repeated
 rows are returned as often as they come. Null page ids are kept. An empty table gives an empty result; other columns
 are not read.
 """
@@ -29,7 +29,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PREFIX = 8
+PREFIX, SALTS = 8, 64
 
 
 def host_of(url: Column) -> Column:
@@ -60,7 +60,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         F.max(F.length("r_path") - F.length(F.translate("r_path", "/", ""))).alias("slashes"),
     ).first()
     labels, slashes = deepest["labels"] or 1, deepest["slashes"] or 0
-    urls = pages.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    # copies of a row are counted in SALTS groups, so that no task must give all of them back
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    urls = pages.select("page_id", "url", salt.alias("salt")).groupBy("page_id", "url", "salt").agg(F.count(F.lit(1)).alias("copies"))
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     suffixes = F.expr(
         f"transform(sequence(1, least({labels}, length(host) - length(translate(host, '.', '')) + 1)), n -> substring_index(host, '.', -n))"
@@ -81,7 +83,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     judged = (
         expanded.join(rules, fits, "left")
-        .groupBy("page_id", "url")
+        .groupBy("page_id", "url", "salt")
         .agg(
             F.first("host").alias("host"),
             F.first("path").alias("path"),
