@@ -280,7 +280,7 @@ def test_tagger_held_out():
 def test_windows_agree_wherever_a_span_lies():
     model, value = tagger.trained(), "3dc91a32781def2fd668aa2fd071eacee1a19444"
     words = "the house was near a river and people walked there often because it looked fine "
-    for at in range(840, 1090, 16):
+    for at in range(340, 620, 16):
         text = (words * 30)[:at] + ' token = "' + value + '" ' + words * 30
         assert list(pii.tagged([text], model)) == [[("secret", text.index(value), text.index(value) + 40)]]
     # between long texts and empty ones, alone or together

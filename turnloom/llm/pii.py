@@ -31,7 +31,9 @@ from .common import read
 from .tagger import DIGITS, KINDS, PAD, STRIDE, WINDOW, codes, decode, trained
 from .tokens import text_batches
 
-MINIMUM, BATCH = 7, 1024
+MINIMUM, BATCH = 7, 2048
+#: Bytes of text whose windows are decoded together.
+SLICE = 4 << 20
 #: Texts whose spans a task remembers, by digest.
 REMEMBERED = 8192
 #: What the patterns must equal (fixed values): local part, domain, address, card, telephone number.
@@ -197,7 +199,7 @@ def find(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFra
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             # equal texts have equal spans: each is read once, as long as the task remembers it

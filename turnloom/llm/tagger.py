@@ -16,7 +16,7 @@ import numpy as np
 
 #: The kinds of the patterns, in the order of ties, and the kind that the tagger alone finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
-WINDOW, STRIDE, TRAINING = 1024, 928, 144
+WINDOW, STRIDE, TRAINING = 512, 416, 144
 HIDDEN, CHARS = 12, 131
 OTHER, PAD = 128, 129
 TAGS = 1 + 2 * len(KINDS)
@@ -194,41 +194,49 @@ def _run(m: dict[str, np.ndarray], side: str, x: np.ndarray) -> tuple[np.ndarray
     return out, kept
 
 
-def _fast_tanh(x: np.ndarray) -> np.ndarray:
+def _fast_tanh(x: np.ndarray, scratch: np.ndarray) -> None:
     """tanh within 0.024, in place, by a rational function that is 1 at 3; a fifth of the time of tanh."""
     np.minimum(x, 3, out=x)
     np.maximum(x, -3, out=x)
-    square = x * x
-    x *= square + 27
-    square *= 9
-    square += 27
-    x /= square
-    return x
+    # x (27 + x^2) / (27 + 9 x^2) = x / 9 (1 + 24 / (3 + x^2))
+    np.multiply(x, x, out=scratch)
+    scratch += 3
+    np.divide(np.float32(24 / 9), scratch, out=scratch)
+    scratch += np.float32(1 / 9)
+    x *= scratch
 
 
 def emissions(m: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """(time, batch, TAGS), without what only training needs."""
+    """(time, batch, TAGS), without what only training needs; all steps share the same few buffers."""
     t_max, n = x.shape[1], len(x)
-    e = np.broadcast_to(m["bias"], (t_max, n, TAGS)).copy()
+    # tag by tag in memory, as they are compared
+    e = np.empty((t_max, TAGS, n), np.float32)
+    e[:] = m["bias"][:, None]
     by_time = np.ascontiguousarray(x.T).astype(np.intp)
     # a sigmoid is half of 1 + tanh of the half: one call serves all gates, and the outer halves are in the weights
     half = np.repeat(np.float32([0.5, 1.0]), [3 * HIDDEN, HIDDEN])
     one = np.repeat(np.float32([1.0, 0.0]), [3 * HIDDEN, HIDDEN])
+    z, zz, part = np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32), np.empty((TAGS, n), np.float32)
+    h, c, u = (np.empty((n, HIDDEN), np.float32) for _ in range(3))
     for side, out in (("l", m["out"][:HIDDEN] * np.float32(0.5)), ("r", m["out"][HIDDEN:] * np.float32(0.5))):
         table, w = m[f"x{side}"] * half, m[f"h{side}"] * half * np.float32(0.5)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h[:], c[:] = 0, 0
         for t in range(t_max) if side == "l" else range(t_max - 1, -1, -1):
-            z = np.take(table, by_time[t], axis=0)
-            z += h @ w
-            _fast_tanh(z)
+            np.take(table, by_time[t], axis=0, out=z, mode="clip")
+            np.matmul(h, w, out=zz)
+            z += zz
+            _fast_tanh(z, zz)
             z += one
             c *= z[:, HIDDEN : 2 * HIDDEN]
-            c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+            np.multiply(z[:, :HIDDEN], z[:, 3 * HIDDEN :], out=u)
+            c += u
             c *= 0.5
-            h = _fast_tanh(c.copy())
+            np.copyto(h, c)
+            _fast_tanh(h, u)
             h *= z[:, 2 * HIDDEN : 3 * HIDDEN]
-            e[t] += h @ out
-    return e
+            np.matmul(out.T, h.T, out=part)
+            e[t] += part
+    return e.transpose(0, 2, 1)
 
 
 def surely_empty(m: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
