@@ -96,9 +96,25 @@ def test_natural_order(spark):
 
 def test_validated_numbers(spark):
     d = spark.createDataFrame([(1, "request (900 tokens) exceeds the available context size (800 tokens)", 1000, 950), (2, "request (900 tokens) exceeds the available context size (800 tokens)", 1000, 100), (3, "request (900 tokens) exceeds the available context size (1200 tokens)", 1000, 950), (4, "`inputs` must have less than 501 tokens. Given: 900", 1000, 950)], "i int, b string, w long, raw long")
-    v = errors.validated(errors.classify(F.lit(400), F.col("b")), F.col("w"), F.col("raw"))
+    c = errors.classify(F.lit(400), F.col("b"), F.col("message"))
+    d = d.withColumn("message", errors.message_of(F.col("b"))).select("i", "w", "raw", *(x.alias(n) for n, x in c.items()))
+    v = errors.validated({n: F.col(n) for n in c}, F.col("w"), F.col("raw"))
     got = [tuple(r) for r in d.orderBy("i").select(*(c.alias(k) for k, c in v.items())).collect()]
-    assert got == [(800, None, 900, None), (None, None, None, "prompt"), (None, None, 900, "window"), (None, 500, 900, None)]
+    assert got == [(800, None, 900, None, None), (None, None, None, None, "prompt"), (None, None, 900, None, "window"), (None, 500, 900, None, None)]
+
+
+def test_numbers_of_error_bodies(spark):
+    said = "This model's maximum context length is 800 tokens. However, you requested 10 output tokens and your prompt contains at least 790 input tokens"
+    rows = [said, json.dumps({"error": {"message": said}}), json.dumps({"error": {"message": "bad"}, "echo": said}), json.dumps({"error": {"message": "request (5 tokens) exceeds the available context size (6 tokens)", "n_prompt_tokens": 900, "n_ctx": 800}}), '{"error":{"type":"exceed_context_size_error","n_ctx":"800"}}', "You passed 7 input tokens and requested 2 output tokens. However, the model's context length is only 8 tokens, resulting in a maximum input length of 6 tokens", "rate limit: " + said]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v string")
+    d = d.withColumn("message", errors.message_of(F.col("v")))
+    c = errors.classify(F.lit(400), F.col("v"), F.col("message"))
+    names = ("rule", "window", "prompt", "maxInput", "lower_bound", "in_message")
+    got = [tuple(r) for r in d.orderBy("i").select(*(c[n].alias(n) for n in names)).collect()]
+    assert got == [
+        ("vllm.v018.total", 800, 790, None, True, True), ("vllm.v018.total", 800, 790, None, True, True), ("vllm.v018.total", 800, 790, None, True, False),
+        ("llamacpp.new", 800, 900, None, False, True), ("llamacpp.type", 800, None, None, False, True), ("vllm.v016.tokens", 8, 7, 6, True, True), (None, None, None, None, None, None),
+    ]
 
 
 # ---------------------------------------------------------------- facts
@@ -175,3 +191,22 @@ def test_assembled(session):
     rows = sorted(facts.assembled(session, 10**6, 2).collect(), key=lambda r: r["pos"])
     assert [r["origin"] for r in rows] == [0, -1, 9, 10, 11, 12] and [r["pos"] for r in rows] == list(range(6))
     assert rows[1]["role"] == "user" and rows[1]["content"].startswith(facts.s.SUMMARY_HEADER)
+
+
+def test_nesting(spark):
+    assert values(spark, wire.nesting_depth(F.col("v")), ["1", "[]", '{"a":[{"b":"[[["}]}', '["\\"["]']) == [0, 1, 3, 1]
+
+
+def test_user_items(spark):
+    rows = [(1, 0, "user", "Build it. Keep logs short."), (1, 1, "assistant", "ok"), (1, 2, "user", "Use port 80 for the proxy. Write docs."), (1, 3, "user", "Actually use port 81 for the proxy."), (1, 4, "user", "Please keep the logs long instead.")]
+    d = spark.createDataFrame([(*r, None, None, None, None) for r in rows], LOG)
+    got = {r["idx"]: (r["body"], r["suffix"]) for r in facts.user_items(d).collect()}
+    assert got == {0: ("Build it. Keep logs short.", ""), 2: ("Write docs.", "(part superseded by #3)"), 3: ("Actually use port 81 for the proxy.", ""), 4: ("Please keep the logs long instead.", "(amends the task)")}
+
+
+def test_output_paths(spark):
+    text = "see src/a/b.ts and ./src/a/b.ts, /w/src/a/b.ts:12\nhttp://x.org/y/z.html conf/app.yaml lib/c.py own/me.ts no/ext plain.txt"
+    listing = "a/b.ts\nc/d.ts\ne/f.ts\ng/h.ts"
+    rows = [(1, 0, "assistant", "", "c1", None, "bash", '{"path":"./own/me.ts"}'), (1, 1, "tool", text, "c1", None, None, None), (1, 2, "tool", listing, "c1", None, None, None)]
+    got = [(r["idx"], r["path"], r["place"]) for r in facts.output_paths(spark.createDataFrame(rows, LOG)).orderBy("idx", "place").collect()]
+    assert got == [(1, "conf/app.yaml", 1), (1, "/w/src/a/b.ts", 2), (1, "lib/c.py", 3)]

@@ -178,7 +178,7 @@ def test_error_rules(spark):
         (500, "maximum context", None, None, None),
         (422, "MAXIMUM context", "generic.suspect", None, None),
     ]
-    found = errors.classify(F.col("s"), F.col("b"))
+    found = errors.classify(F.col("s"), F.col("b"), F.col("b"))
     rows = spark.createDataFrame([c[:2] for c in cases], "s int, b string").select(found["rule"], found["window"], found["prompt"]).collect()
     assert [tuple(r) for r in rows] == [c[2:] for c in cases]
 
@@ -323,3 +323,21 @@ def test_unit_pairs_of_unique_ids(spark, small):
     for r in unit_pairs(log).collect():
         if r["call_idx"] is not None:
             assert asof[r["session_id"], r["idx"]] == r["call_idx"]
+
+
+def test_plans_are_resumed_and_keep_a_bounded_state():
+    limits = planner.Limits.of(3000, 300)
+    for seed in range(60):
+        rnd = random.Random(seed)
+        log = [(i, "user" if i == 0 else rnd.choice(["user", "assistant", "tool", "tool"]), rnd.choice([5, 40, 300, 900]), rnd.random() < 0.2) for i in range(rnd.randint(1, 120))]
+        fresh = planner.advance(planner.Plan(), log, limits, True)
+        plan, rows, at = planner.Plan(), [], 0
+        while at < len(log):
+            to = at + rnd.randint(1, 9)
+            rows += planner.advance(plan, log[at:to], limits, to >= len(log))
+            plan, at = planner.Plan.load(plan.dump()), to
+        assert rows == fresh
+        assert all(r[3] <= limits.budget or r[1] == "impossible" for r in fresh) and [r[2] for r in fresh] == sorted(r[2] for r in fresh)
+    plan = planner.Plan()
+    planner.advance(plan, [(i, "user" if i == 0 else "assistant" if i % 2 else "tool", 200, False) for i in range(20_000)], limits, True)
+    assert len(plan.front) + len(plan.tail) + len(plan.short) < 100

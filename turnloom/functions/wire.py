@@ -31,6 +31,14 @@ def has_unsafe_number(json: Column) -> Column:
     return F.exists(numbers, lambda n: F.when(whole(n), beyond(n)).otherwise((F.abs(value(n)) == float("inf")) | ((value(n) == F.floor(value(n))) & (F.abs(value(n)) > LARGEST_SAFE))))
 
 
+def nesting_depth(json: Column) -> Column:
+    """How deep objects and arrays nest in a JSON text; brackets within texts do not count."""
+    brackets = F.regexp_replace(F.regexp_replace(json, _STRING, ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step)["most"]
+
+
 def unwrapped(json: Column) -> Column:
     """The chat body that a captured record holds: itself, or under body or request, as an object or as JSON text; else null."""
     is_chat = lambda j: F.coalesce(_kind(j, "$.messages") == "a", F.lit(False))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as t
 from turnloom.operators import structure as s
+from turnloom.operators import supersede
 
 #: Categories by priority, how many of them form the floor, sections in the order of the summary.
 CATEGORIES = ("user", "decision", "todo", "file", "rest", "narrative1", "narrative2", "toolLog")
@@ -51,6 +52,47 @@ def user_facts(log: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> Da
     return log.where("role = 'user'").select("session_id", "idx", text.alias("text"), fact.alias("fact"))
 
 
+def user_items(log: DataFrame, heads: int = 1) -> DataFrame:
+    """session_id, idx, body, suffix of each instruction: its sentences that no later message replaces, and by which the others were.
+
+    The first heads messages of a user are the task: what replaces a sentence of theirs amends it, and they stay whole.
+    """
+    facts_ = user_facts(log).where("fact")
+    gone = supersede.superseded(log, heads).dropDuplicates(["session_id", "idx", "sentence"])
+    replaced = gone.where("rule <> 'amends'").select("session_id", "idx", F.col("sentence").alias("n"), "by_idx")
+    amends = gone.where("rule = 'amends'").select("session_id", F.col("by_idx").alias("idx"), F.lit(" (amends the task)").alias("amends")).distinct()
+    s_ = facts_.select("session_id", "idx", "text", F.posexplode(t.sentences(F.col("text"))).alias("n", "sentence")).join(replaced, ["session_id", "idx", "n"], "left")
+    by = F.array_join(F.transform(F.array_sort(F.collect_set("by_idx")), lambda i: F.concat(F.lit("#"), i.cast("string"))), ", ")
+    left = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("by_idx").isNull(), F.struct("n", "sentence")))), lambda x: x["sentence"]), " ")
+    per = s_.groupBy("session_id", "idx").agg(F.first("text").alias("text"), F.count("by_idx").alias("gone"), left.alias("left"), by.alias("by")).join(amends, ["session_id", "idx"], "left")
+    body = F.when(F.col("gone") == 0, F.col("text")).otherwise(F.col("left"))
+    status = F.when(F.col("gone") == 0, "").when(F.col("left") == "", F.concat(F.lit("(superseded by "), "by", F.lit(")"))).otherwise(F.concat(F.lit("(part superseded by "), "by", F.lit(")")))
+    return per.select("session_id", "idx", body.alias("body"), F.trim(F.concat(status, F.coalesce("amends", F.lit("")))).alias("suffix"))
+
+
+#: What a path may be made of, and the longest run that is looked at.
+PATH_RUN, MOST_RUN = r"(?<![\w@.:/-])(?:\.{1,2}/|/)?(?:[\w.@+-]+/)+[\w.@+-]*\.[A-Za-z0-9]{1,8}\b", 512
+
+
+def output_paths(log: DataFrame, most: int = 3) -> DataFrame:
+    """session_id, idx, path, place: files that a result names, but not its call's own: configurations first, then by place, few a result.
+
+    Spellings of one file are one, at its first place and in its longest form; URLs and lists of bare paths name none.
+    """
+    r = log.where("role = 'tool' and content like '%/%'").select("session_id", "idx", "content")
+    own = call_facts(log).where("path is not null").select("session_id", F.col("idx").alias("call_idx"), F.col("path").alias("own"))
+    pair = s.call_for(log).select("session_id", F.col("result_idx").alias("idx"), "call_idx").join(own, ["session_id", "call_idx"])
+    lines = F.filter(F.split("content", "\n"), lambda x: x.contains("/") & ~x.contains("Full output saved to:") & (F.length(x) > 0))
+    full = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
+    listing = F.size(F.filter(full, lambda x: x.rlike(r"\A\s*(?:[\w.@+-]+/)*[\w.@+-]+/?\s*\z") & x.contains("/"))) * 2 >= F.size(full)
+    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(PATH_RUN), F.lit(0))))
+    p = r.where((F.size(full) < 4) | ~listing).select("session_id", "idx", F.posexplode(found).alias("at", "path")).where(F.length("path") <= MOST_RUN)
+    p = p.join(pair.select("session_id", "idx", "own"), ["session_id", "idx"], "left").where(F.col("own").isNull() | ~t.same_path(F.col("own"), F.col("path")))
+    one = p.withColumn("key", t.path_key(F.col("path"))).groupBy("session_id", "idx", "key").agg(F.min("at").alias("at"), F.max(F.struct(F.length("path"), F.col("path"))).alias("m"))
+    place = F.row_number().over(Window.partitionBy("session_id", "idx").orderBy(F.desc(t.config_like(F.col("m.path"))), "at"))
+    return one.select("session_id", "idx", F.col("m.path").alias("path"), place.alias("place")).where(F.col("place") <= most)
+
+
 def one_line(text: Column) -> Column:
     """Control characters as visible escapes."""
     out = F.replace(F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))

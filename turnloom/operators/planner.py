@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STUB, MARKER, HEAD_SHARE, TRIES = 12, 6, 0.8, 6
 OUT = "session_id long, boundary int, action string, tokens_in long, tokens_out long, cut int, rungs string"
@@ -41,13 +42,27 @@ class Limits:
 
 @dataclass
 class Plan:
+    """The state of a session: its head, its tail from the cut on, and sums; what lies between is only in the sums."""
+
     head: int = -1
     cut: int = 0
     summary: int = 0
     seen: int = 0
+    last_role: str = ""
+    #: role and tokens of the head's messages (all messages, until the head is known), and of those from the cut on
+    front: list[tuple[str, int]] = field(default_factory=list)
+    tail: list[tuple[str, int]] = field(default_factory=list)
+    #: tokens of messages that are sent shorter
     short: dict[int, int] = field(default_factory=dict)
-    #: role, tokens and snapshot flag of every message so far
-    log: list[tuple[str, int, bool]] = field(default_factory=list)
+    #: tokens of all messages, of those between head and cut, of head and tail as sent
+    raw: int = 0
+    dropped: int = 0
+    front_sum: int = 0
+    tail_sum: int = 0
+    #: first message whose size is yet to be looked at, snapshots yet to be made stubs (the newest is kept), any message shortened
+    checked: int = 0
+    shots: list[int] = field(default_factory=list)
+    shortened: bool = False
 
     def dump(self) -> str:
         return json.dumps(asdict(self))
@@ -56,103 +71,144 @@ class Plan:
     def load(cls, text: str) -> Plan:
         d = json.loads(text)
         d["short"] = {int(k): v for k, v in d["short"].items()}
-        d["log"] = [tuple(x) for x in d["log"]]
+        d["front"], d["tail"] = ([tuple(x) for x in d[k]] for k in ("front", "tail"))
         return cls(**d)
 
-
-def _size(p: Plan, i: int) -> int:
-    return p.short.get(i, p.log[i][1])
-
-
-def _total(p: Plan, n: int) -> int:
-    return sum(_size(p, i) for i in range(p.head)) + p.summary + sum(_size(p, i) for i in range(p.cut, n))
-
-
-def _units(p: Plan, n: int) -> list[int]:
-    return [i for i in range(p.head, n) if i == p.head or p.log[i][0] in ("assistant", "user", "system", "developer")]
-
-
-def _cut(p: Plan, n: int, limits: Limits) -> None:
+    def add(self, idx: int, role: str, tokens: int, shot: bool) -> None:
+        if self.head < 0:
+            self.front.append((role, tokens))
+        else:
+            self.tail.append((role, tokens))
+            self.tail_sum += tokens
+        if shot:
+            self.shots.append(idx)
+        self.raw += tokens
+        self.last_role, self.seen = role, idx + 1
+
+    def start(self) -> None:
+        """The head ends at the first assistant."""
+        n = len(self.front)
+        self.head = self.cut = self.checked = next((i for i, (role, _) in enumerate(self.front) if role == "assistant"), n)
+        self.tail, self.front = self.front[self.head :], self.front[: self.head]
+        self.front_sum, self.tail_sum = sum(t for _, t in self.front), sum(t for _, t in self.tail)
+        self.shots = [i for i in self.shots if i >= self.head]
+
+    def role(self, i: int) -> str:
+        return (self.front[i] if i < self.head else self.tail[i - self.cut])[0]
+
+    def size(self, i: int) -> int:
+        return self.short[i] if i in self.short else (self.front[i] if i < self.head else self.tail[i - self.cut])[1]
+
+    def shorten(self, i: int, tokens: int) -> None:
+        change = tokens - self.size(i)
+        self.short[i], self.shortened = tokens, True
+        if i < self.head:
+            self.front_sum += change
+        else:
+            self.tail_sum += change
+
+    def move(self, cut: int) -> None:
+        """Forget the messages before the cut but for their sums."""
+        for i in range(self.cut, cut):
+            self.tail_sum -= self.size(i)
+            self.dropped += self.tail[i - self.cut][1]
+            self.short.pop(i, None)
+        del self.tail[: cut - self.cut]
+        self.cut = cut
+
+    def total(self) -> int:
+        return self.front_sum + self.summary + self.tail_sum
+
+    def units(self) -> list[int]:
+        """Starts of the tail's units."""
+        return [i for i, (role, _) in enumerate(self.tail, self.cut) if i == self.head or role in ("assistant", "user", "system", "developer")]
+
+    def newest(self) -> int:
+        """Start of the newest assistant's unit; the head's end if there is none."""
+        return next((i for i in range(self.cut + len(self.tail) - 1, self.cut - 1, -1) if self.tail[i - self.cut][0] == "assistant"), self.head)
+
+
+def _cut(p: Plan, limits: Limits) -> None:
     """The longest tail of whole units within the target; the newest assistant unit is kept whatever it costs."""
-    starts = _units(p, n)
-    assistants = [i for i in starts if p.log[i][0] == "assistant"]
-    keep = assistants[-1] if assistants else p.head
-    room = limits.target - sum(_size(p, i) for i in range(p.head)) - limits.summary
-    tail, cut = sum(_size(p, i) for i in range(keep, n)), keep
-    for s in reversed([s for s in starts if p.cut <= s < keep]):
-        tail += sum(_size(p, i) for i in range(s, cut))
+    n, keep = p.cut + len(p.tail), p.newest()
+    room = limits.target - p.front_sum - limits.summary
+    tail, cut = sum(p.size(i) for i in range(max(keep, p.cut), n)), keep
+    for s in reversed([s for s in p.units() if s < keep]):
+        tail += sum(p.size(i) for i in range(s, cut))
         if tail > room:
             break
         cut = s
-    p.cut = max(p.cut, cut)
-    dropped = sum(p.log[i][1] for i in range(p.head, p.cut))
-    p.summary = min(limits.summary, MARKER + dropped // 10) if p.cut > p.head else 0
+    p.move(max(p.cut, cut))
+    p.summary = min(limits.summary, MARKER + p.dropped // 10) if p.cut > p.head else 0
 
 
-def step(p: Plan, n: int, limits: Limits) -> tuple[str, int, list[str]]:
-    """Action, tokens sent on, and rungs taken for the history of n messages; changes the plan."""
+def step(p: Plan, limits: Limits) -> tuple[str, int, list[str]]:
+    """Action, tokens sent on, and rungs taken for the history so far; changes the plan. The work follows the new messages and the tail."""
     if p.head < 0:
-        p.head = p.cut = next((i for i in range(n) if p.log[i][0] == "assistant"), n)
-    admitted = False
-    for i in range(p.cut, n):
-        if p.log[i][0] in ("tool", "function") and i not in p.short and p.log[i][1] > limits.admit:
-            p.short[i], admitted = limits.admit, True
-    shots = [i for i in range(p.head, n) if p.log[i][2]]
-    for i in shots[:-1]:
-        if _size(p, i) > STUB:
-            p.short[i] = STUB
-    raw = sum(t for _, t, _ in p.log[:n])
-    if _total(p, n) <= limits.trigger:
-        changed = p.cut > p.head or any(i < n for i in p.short)
-        return ("admit" if admitted else "reuse" if changed else "passthrough"), _total(p, n), []
+        p.start()
+    n, admitted = p.cut + len(p.tail), False
+    for i in range(max(p.checked, p.cut), n):
+        if p.role(i) in ("tool", "function") and i not in p.short and p.size(i) > limits.admit:
+            p.shorten(i, limits.admit)
+            admitted = True
+    p.checked = n
+    for i in p.shots[:-1]:
+        if i >= p.cut and p.size(i) > STUB:
+            p.shorten(i, STUB)
+    p.shots = p.shots[-1:]
+    if p.total() <= limits.trigger:
+        return ("admit" if admitted else "reuse" if p.cut > p.head or p.shortened else "passthrough"), p.total(), []
     rungs: list[str] = []
-    _cut(p, n, limits)
+    _cut(p, limits)
     ladder = (("drop_units", _drop), ("halve_results", _halve), ("cut_text", _cut_text), ("shorten_users", _shorten))
     for name, rung in ladder:
-        if _total(p, n) <= limits.budget:
+        if p.total() <= limits.budget:
             break
-        if rung(p, n, limits):
+        if rung(p, limits):
             rungs.append(name)
-    sent = _total(p, n)
+    sent = p.total()
     if sent > limits.budget:
-        return "impossible", raw, rungs
+        return "impossible", p.raw, rungs
     return "compact", sent, rungs
 
 
-def _drop(p: Plan, n: int, limits: Limits) -> bool:
-    starts, before = _units(p, n), p.cut
-    assistants = [i for i in starts if p.log[i][0] == "assistant"]
-    for s in [s for s in starts if p.cut < s <= (assistants[-1] if assistants else p.head)]:
-        if _total(p, n) <= limits.budget:
+def _drop(p: Plan, limits: Limits) -> bool:
+    before, last = p.cut, p.newest()
+    for s in [s for s in p.units() if p.cut < s <= last]:
+        if p.total() <= limits.budget:
             break
-        p.cut, p.summary = s, limits.summary
+        p.move(s)
+        p.summary = limits.summary
     return p.cut > before
 
 
-def _halve(p: Plan, n: int, limits: Limits) -> bool:
+def _halve(p: Plan, limits: Limits) -> bool:
     done = False
-    for i in sorted((i for i in range(p.cut, n) if p.log[i][0] in ("tool", "function")), key=lambda i: (-_size(p, i), i)):
+    results = [i for i, (role, _) in enumerate(p.tail, p.cut) if role in ("tool", "function")]
+    for i in sorted(results, key=lambda i: (-p.size(i), i)):
         for _ in range(TRIES):
-            if _total(p, n) <= limits.budget or _size(p, i) <= 4 * MARKER:
+            if p.total() <= limits.budget or p.size(i) <= 4 * MARKER:
                 break
-            p.short[i], done = _size(p, i) // 2 + MARKER, True
+            p.shorten(i, p.size(i) // 2 + MARKER)
+            done = True
     return done
 
 
-def _cut_text(p: Plan, n: int, limits: Limits) -> bool:
-    newest = max((i for i in range(p.cut, n) if p.log[i][0] == "assistant"), default=None)
-    over = _total(p, n) - limits.budget
-    if newest is None or over <= 0 or _size(p, newest) <= 2 * MARKER:
+def _cut_text(p: Plan, limits: Limits) -> bool:
+    newest = max((i for i, (role, _) in enumerate(p.tail, p.cut) if role == "assistant"), default=None)
+    over = p.total() - limits.budget
+    if newest is None or over <= 0 or p.size(newest) <= 2 * MARKER:
         return False
-    p.short[newest] = max(2 * MARKER, _size(p, newest) - over)
+    p.shorten(newest, max(2 * MARKER, p.size(newest) - over))
     return True
 
 
-def _shorten(p: Plan, n: int, limits: Limits) -> bool:
+def _shorten(p: Plan, limits: Limits) -> bool:
     done = False
-    for i in [i for i in [*range(p.head), *range(p.cut, n)] if p.log[i][0] == "user"]:
-        if _total(p, n) > limits.budget and _size(p, i) > 4 * MARKER:
-            p.short[i], done = max(4 * MARKER, _size(p, i) - (_total(p, n) - limits.budget)), True
+    for i in [i for i in [*range(p.head), *range(p.cut, p.cut + len(p.tail))] if p.role(i) == "user"]:
+        if p.total() > limits.budget and p.size(i) > 4 * MARKER:
+            p.shorten(i, max(4 * MARKER, p.size(i) - (p.total() - limits.budget)))
+            done = True
     return done
 
 
@@ -160,19 +216,17 @@ def advance(p: Plan, messages: list[tuple[int, str, int, bool]], limits: Limits,
     """Take new messages (idx, role, tokens, snapshot) and step at each boundary they complete."""
     out = []
     for idx, role, tokens, shot in messages:
-        if idx and role == "assistant" and p.log and p.log[-1][0] != "assistant":
+        if idx and role == "assistant" and p.seen and p.last_role != "assistant":
             out.append(_row(p, idx, limits))
-        p.log.append((role, tokens, shot))
-        p.seen = idx + 1
+        p.add(idx, role, tokens, shot)
     if end and p.seen:
         out.append(_row(p, p.seen, limits))
     return out
 
 
 def _row(p: Plan, n: int, limits: Limits) -> tuple:
-    given = sum(t for _, t, _ in p.log[:n])
-    action, sent, rungs = step(p, n, limits)
-    return n, action, given, sent, p.cut, ",".join(rungs)
+    action, sent, rungs = step(p, limits)
+    return n, action, p.raw, sent, p.cut, ",".join(rungs)
 
 
 def fold(log: DataFrame, window: int, reply: int) -> DataFrame:
@@ -185,3 +239,11 @@ def fold(log: DataFrame, window: int, reply: int) -> DataFrame:
         return pd.DataFrame([(pdf["session_id"].iloc[0], *r) for r in rows], columns=[c.split()[0] for c in OUT.split(", ")])
 
     return log.select("session_id", "idx", "role", "tokens", "snapshot").groupBy("session_id").applyInPandas(run, OUT)
+
+
+def replay(log: DataFrame, window: int, reply: int) -> DataFrame:
+    """session_id, boundary, action, tokens_in, tokens_out, same: every request planned, and whether a second plan of the same log, dealt otherwise, agrees."""
+    once, again = fold(log, window, reply), fold(log.repartition(7, "idx"), window, reply)
+    other = again.select("session_id", "boundary", F.struct("action", "tokens_out", "cut", "rungs").alias("other"))
+    both = once.join(other, ["session_id", "boundary"], "left")
+    return both.select("session_id", "boundary", "action", "tokens_in", "tokens_out", F.struct("action", "tokens_out", "cut", "rungs").eqNullSafe(F.col("other")).alias("same"))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-
 def in_order() -> WindowSpec:
     return Window.partitionBy("session_id").orderBy("idx")
 
@@ -70,8 +69,11 @@ def with_kept_start(log: DataFrame, keep: int) -> DataFrame:
     """The log with its head and start: of the keep newest assistant units; of the oldest if there are fewer, else h."""
     body = with_head(log)
     opened = F.when((F.col("role") == "assistant") & (F.col("idx") >= F.col("h")), F.col("idx"))
-    newest = F.sort_array(F.collect_list(opened).over(whole()), asc=False)
-    return body.withColumn("start", F.coalesce(F.try_element_at(F.slice(newest, 1, max(1, keep)), F.lit(-1)), F.col("h")))
+    # assistants from a message on, counted from the end: a number a row, not a list
+    newer = F.count(opened).over(Window.partitionBy("session_id").orderBy(F.desc("idx")))
+    body = body.withColumns({"opened": opened, "newer": newer})
+    kth = F.max(F.when(F.col("newer") == max(1, keep), F.col("opened"))).over(whole())
+    return body.withColumn("start", F.coalesce(kth, F.min("opened").over(whole()), F.col("h"))).drop("opened", "newer")
 
 
 def kept_start(log: DataFrame, keep: int) -> DataFrame:

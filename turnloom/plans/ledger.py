@@ -42,6 +42,7 @@ QUERIES = {
     "x22_summaries": _on(lambda log: facts.summaries(facts.items(log, KEEP), BUDGET, False)),
     "as_assembled": _on(lambda log: facts.assembled(log, BUDGET, KEEP).select("session_id", "pos", "origin", "role", F.md5("content").alias("digest"))),
     "a29_todo_closure": _on(todo_lists),
+    "x21_user_items": _on(facts.user_items),
 }
 
 _FACTS = f"""{WITH_TRANSCRIPT}, {_UNITS}, {_KEPT.replace("age <= 4", f"age <= {KEEP}")}, {_CALLS}, {_ANSWER}, calls1 AS (
@@ -89,6 +90,7 @@ SQL = {
     "x20_ledger_items": f"{_ITEMS} SELECT session_id, id, category, section, place, line FROM items",
     "w12_prefix_cut": f"{_ITEMS} SELECT session_id, count(*) FILTER (WHERE stays) AS kept, count(*) FILTER (WHERE NOT stays) AS dropped, max(spent) FILTER (WHERE stays) AS spent FROM chosen GROUP BY 1",
     "x22_summaries": f"{_TEXTS} SELECT session_id, kept, dropped, text FROM texts",
+    "x21_user_items": f"{WITH_TRANSCRIPT} SELECT session_id, idx, trim(content) AS body, CASE WHEN idx = 0 THEN '' ELSE '(amends the task)' END AS suffix FROM transcript WHERE role = 'user'",
     "a29_todo_closure": f"""{WITH_TRANSCRIPT}, c AS (SELECT session_id, count(*) AS items, count(*) FILTER (WHERE idx % 3 = 0) AS done, count(*) FILTER (WHERE idx % 3 = 2 AND session_id % 2 = 1) AS gone FROM transcript WHERE role = 'assistant' AND content LIKE 'TODO:%' GROUP BY 1)
 SELECT session_id, items, CASE WHEN done + gone > 0 THEN concat_ws(', ', CASE WHEN done > 0 THEN done || ' completed' END, CASE WHEN gone > 0 THEN gone || ' cancelled' END) END AS closed FROM c""",
 }

@@ -12,7 +12,7 @@ from turnloom.sources.tables import read, views
 _BODIES = [
     "This model''s maximum context length is ~ tokens. However, you requested 12 output tokens and your prompt contains at least ~ input tokens",
     "This model''s maximum context length is ~ tokens. However, your request has ~ input tokens",
-    "You passed ~ input tokens and requested 7 output tokens. However, the model''s context length is only ~ tokens",
+    "You passed ~ input tokens and requested 7 output tokens. However, the model''s context length is only ~ tokens, resulting in a maximum input length of ~ tokens",
     "The input (~ tokens) is longer than the model''s context length (~ tokens)",
     "request (~ tokens) exceeds the available context size (~ tokens)",
     "`inputs` must have less than ~ tokens. Given: ~",
@@ -33,9 +33,9 @@ BODIES_SQL = (
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "events")
-    found = errors.classify(F.col("status"), F.col("body"))
+    found = errors.classify(F.col("status"), F.col("body"), F.col("message"))
     # Spark reads '' within a literal as two literals side by side
-    bodies = spark.sql(BODIES_SQL.replace("''", "\\'"))
+    bodies = spark.sql(BODIES_SQL.replace("''", "\\'")).withColumn("message", errors.message_of(F.col("body")))
     return bodies.select("event_id", *(found[k].alias(n) for k, n in (("rule", "rule"), ("kind", "kind"), ("window", "limit_tokens"), ("prompt", "prompt_tokens"), ("completion", "completion_tokens"), ("maxInput", "max_input"))))
 
 
@@ -60,7 +60,7 @@ QUERIES = {"x24_error_rules": classified, "f24_hosts": hosts, "d03_retry_after":
 
 
 #: What each body is, stated apart from the rules: rule, kind, and where the body's number or a fixed one stands.
-_KNOWN = """(0, 'vllm.v018.total', 'overflow_total', 1, 1, 12, 0), (1, 'vllm.v011.prompt', 'overflow_prompt', 1, 1, 0, 0), (2, 'vllm.v016.tokens', 'overflow_total', 1, 1, 7, 0), (3, 'sglang.prompt', 'overflow_prompt', 1, 1, 0, 0),
+_KNOWN = """(0, 'vllm.v018.total', 'overflow_total', 1, 1, 12, 0), (1, 'vllm.v011.prompt', 'overflow_prompt', 1, 1, 0, 0), (2, 'vllm.v016.tokens', 'overflow_total', 1, 1, 7, 1), (3, 'sglang.prompt', 'overflow_prompt', 1, 1, 0, 0),
 (4, 'llamacpp.new', 'overflow_prompt', 1, 1, 0, 0), (5, 'tgi.prompt', 'overflow_prompt', 0, 1, 0, 1), (9, 'vllm.max_tokens_gt_window', 'max_tokens_too_large', 1, 0, -1, 0), (10, 'openai.code', 'overflow_unknown', 0, 0, 0, 0), (11, 'vllm.any', 'overflow_total', 1, 0, 0, 0)"""
 SQL = {
     "x24_error_rules": f"""WITH known(k, rule, kind, w, p, c, m) AS (VALUES {_KNOWN}), e AS (SELECT event_id, event_id % 12 AS k, event_id % 5 AS s, 1000 + event_id AS n FROM events)

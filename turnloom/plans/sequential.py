@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import tokens
 from turnloom.operators import planner, rewrites, supersede
 from turnloom.plans.metrics import upstream
-from turnloom.sources.transcript import transcript
+from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
 from turnloom.streaming import calibration_batch
 
 
@@ -27,6 +27,12 @@ def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans(spark, sf_dir).groupBy("action", "rungs").agg(F.count(F.lit(1)).alias("boundaries"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of actions of a replay, with the requests whose second plan differs."""
+    r = planner.replay(sized(spark, sf_dir), 1050, 300)
+    return r.groupBy("action").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count_if(~F.col("same")).alias("mismatches"))
+
+
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supersede.superseded(transcript(spark, sf_dir))
 
@@ -60,6 +66,9 @@ QUERIES = {
     "x11_slimmed": slimmed,
     "j02_unit_pairs": lambda spark, sf_dir: rewrites.unit_pairs(transcript(spark, sf_dir)),
     "st15_client_compaction": lambda spark, sf_dir: rewrites.client_compaction(sized(spark, sf_dir), 900, 300),
-    "st03_session_plans": plans, "a11_plan_actions": plan_actions, "x19_superseded": replaced, "st07_calibration": calibrated,
+    "st03_session_plans": plans, "sk07_replay": replayed, "a11_plan_actions": plan_actions, "x19_superseded": replaced, "st07_calibration": calibrated,
+}
+#: In the derived log a session's correction names its order, which only the first sentence of the task names too.
+SQL: dict[str, str] = {
+    "x19_superseded": f"""{WITH_TRANSCRIPT} SELECT session_id, CAST(0 AS INTEGER) AS idx, CAST(0 AS INTEGER) AS sentence, max(idx) AS by_idx, 'id' AS rule FROM transcript WHERE role = 'user' GROUP BY session_id HAVING count(*) > 1""",
 }
-SQL: dict[str, str] = {}

@@ -86,11 +86,17 @@ def tail_recurs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("session_id", "idx", "path")
 
 
+#: Paths shown of a session and of one result.
+TOTAL_PATHS, RESULT_PATHS = 20, 3
+
+
 def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 distinct paths of a session, in order of appearance."""
-    first = paths(spark, sf_dir).groupBy("session_id", "path").agg(F.min("idx").alias("idx"))
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy("idx", "path")).cast("int"))
-    return ranked.where("r <= 20").select("session_id", "path", "r")
+    """Distinct paths of a session, those of configurations first, then in order of appearance; few a result and a session."""
+    config = text.config_like(F.col("path"))
+    each = F.row_number().over(Window.partitionBy("session_id", "idx").orderBy(F.desc(config), "path"))
+    first = paths(spark, sf_dir).withColumn("k", each).where(F.col("k") <= RESULT_PATHS).groupBy("session_id", "path").agg(F.min("idx").alias("idx"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(config), "idx", "path")).cast("int"))
+    return ranked.where(F.col("r") <= TOTAL_PATHS).select("session_id", "path", "r")
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +161,16 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.where("tag <> ''").select("session_id", "idx", F.lower("tag").alias("tag"), "item")
 
 
+#: What is shown whole, and what of the head and tail of longer texts.
+VERBATIM, HEAD, TAIL = 300, 240, 160
+
+
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of 100 units or less verbatim; else head and tail and the number of code points left out."""
-    r = transcript(spark, sf_dir).where("role = 'tool'")
-    t = F.col("content")
-    cut = F.concat(F.substring(t, 1, 60), F.lit("["), (F.length(t) - 100).cast("string"), F.lit(" left out]"), F.right(t, F.lit(40)))
-    return r.select("session_id", "idx", F.when(F.length(t) <= 100, t).otherwise(cut).alias("excerpt"))
+    """Documents as results: short ones verbatim; else head and tail and the number of code points left out."""
+    t = F.trim(F.coalesce("text", F.lit("")))
+    left = F.length(t) - HEAD - TAIL
+    cut = F.concat(F.substring(t, 1, HEAD), F.lit("["), left.cast("string"), F.lit(" left out]"), F.right(t, F.lit(TAIL)))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.when((F.length(t) <= VERBATIM) | (left <= 0), t).otherwise(cut)).alias("excerpt"))
 
 
 def globs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +230,81 @@ _PATHS = f"""{WITH_TRANSCRIPT}, paths AS (
 _SAME = """({0} = {1} OR regexp_replace({0}, '^(?:\\./)+', '') = regexp_replace({1}, '^(?:\\./)+', '')
   OR (contains(regexp_replace({0}, '^(?:\\./)+', ''), '/') AND ends_with({1}, '/' || regexp_replace({0}, '^(?:\\./)+', '')))
   OR (contains(regexp_replace({1}, '^(?:\\./)+', ''), '/') AND ends_with({0}, '/' || regexp_replace({1}, '^(?:\\./)+', ''))))"""
-_CLASS = f"""{WITH_TRANSCRIPT}, classes AS (
+_CLASS = f"""{WITH_TRANSCRIPT}, classes AS MATERIALIZED (
+  SELECT session_id, idx, content, CASE
+    WHEN (length(content) - length(replace(content, '[ref=', ''))) / 5 >= 10 AND contains(content, 'Page URL:') THEN 'snapshot'
+    WHEN regexp_matches(content, '(?m)\\b\\d+ (?:passed|failed|skipped|flaky)\\b|^Running \\d+ tests? using') THEN 'testOutput'
+    WHEN len([x FOR x IN string_split(content, chr(10)) IF regexp_matches(x, '^\\s*(?:import|export|const)\\b|[;{{}}(]\\s*$')]) >= 0.3 * len([x FOR x IN string_split(content, chr(10)) IF trim(x) <> '']) THEN 'code'
+    ELSE 'prose' END AS class
+  FROM transcript WHERE content <> ''
+)"""
+_ESTIMATES = _CLASS + """, estimates AS (
+  SELECT t.session_id, t.idx, CAST(8 + CASE WHEN t.content = '' THEN 0 ELSE
+    ceil(length(t.content) / CASE class WHEN 'snapshot' THEN CAST(2.9 AS DOUBLE) WHEN 'testOutput' THEN CAST(2.5 AS DOUBLE) WHEN 'code' THEN CAST(4.1 AS DOUBLE) ELSE CAST(5.0 AS DOUBLE) END * CAST(1.1 AS DOUBLE)) END AS BIGINT) AS tokens
+  FROM transcript t LEFT JOIN classes c ON c.session_id = t.session_id AND c.idx = t.idx
+)"""
+_UNITS16 = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+_WS = "[\\s\\x{00A0}\\x{FEFF}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0b]"
+
+SQL = {
+    "f01_collapse": f"SELECT doc_id, md5(trim(regexp_replace(text, '{_WS}+', ' ', 'g'))) AS collapsed FROM documents",
+    "f02_cap_head": f"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 80), '{_WS}+$', '') || '…' END AS capped FROM documents",
+    "f03_cap_head_tail": f"SELECT doc_id, CASE WHEN length(text) <= 90 THEN text ELSE regexp_replace(substring(text, 1, 60), '{_WS}+$', '') || ' […] ' || regexp_replace(right(text, 30), '^{_WS}+', '') END AS capped FROM documents",
+    "f05_lengths": f"SELECT doc_id, length(text) AS points, CAST({_UNITS16.format('text')} AS BIGINT) AS units, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents",
+    "f06_grouped": "SELECT o_orderkey, format('{:,}', o_orderkey * 1237) AS shown FROM orders",
+    "f08_think": "SELECT conv_id, turn, text AS visible, role AS reasoning FROM conversations",
+    "f12_sentences": f"{_SENTENCES} SELECT *, trim(regexp_replace(regexp_replace(lower(sentence), '\\s+', ' ', 'g'), '[ .!?;:,]+$', '')) AS norm FROM sentences",
+    "f14_content_words": f"{WITH_TRANSCRIPT} SELECT session_id, idx, array_to_string(list_sort({_WORDS.format('content')}), ' ') AS words FROM transcript WHERE role = 'user'",
+    "f15_explicit_ids": f"{_IDS} SELECT session_id, idx, id FROM ids WHERE regexp_matches(id, '[0-9]')",
+    "f25_paths": f"{_PATHS} SELECT * FROM paths",
+    "j03_same_path": f"""{_PATHS.replace("paths AS (", "paths AS MATERIALIZED (")}, p AS MATERIALIZED (
+  SELECT *, regexp_extract(regexp_replace(path, '^(?:\\./)+', ''), '([^/]+/[^/]+)$', 1) AS k FROM (SELECT session_id, idx, CASE WHEN idx % 2 = 0 THEN './' || path WHEN idx % 3 = 0 THEN 'app/' || path ELSE path END AS path FROM paths)
+) SELECT a.session_id, a.idx AS a, b.idx AS b, a.path AS path_a, b.path AS path_b FROM p a JOIN p b ON a.session_id = b.session_id AND a.k = b.k AND a.idx < b.idx
+WHERE {_SAME.format('a.path', 'b.path')}""",
+    "j04_recurs_anti": f"""{_PATHS}, n AS (SELECT session_id, count(*) AS n FROM transcript GROUP BY 1), p AS (SELECT * FROM paths JOIN n USING (session_id))
+SELECT session_id, idx, path FROM p WHERE idx < n - 4 AND NOT EXISTS (
+  SELECT 1 FROM p q WHERE q.session_id = p.session_id AND q.idx >= q.n - 4 AND {_SAME.format('q.path', 'p.path')})""",
+    "j06_overlap_candidates": f"""{_SENTENCES}, w AS (
+  SELECT session_id, idx, pos, {_WORDS.format('sentence')} AS words FROM sentences
+), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY idx, pos) AS INTEGER) AS seq FROM w WHERE len(words) > 0), p AS (
+  SELECT a.session_id, a.seq, b.seq AS old, CAST(floor(1000 * len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words))) AS BIGINT) AS permille
+  FROM n a JOIN n b ON a.session_id = b.session_id AND b.seq < a.seq
+) SELECT session_id, seq, old, permille FROM p WHERE permille >= 340 QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY permille DESC, old DESC) = 1""",
+    "j07_superseded_by_id": f"{_IDS} SELECT a.session_id, a.id, a.idx, b.idx AS later FROM ids a JOIN ids b ON a.session_id = b.session_id AND a.id = b.id AND a.idx < b.idx WHERE regexp_matches(a.id, '[0-9]')",
+    "t04_top_paths": f"""{_PATHS}, f AS (SELECT session_id, path, min(idx) AS idx, regexp_matches(lower(path), '\\.(json|toml|ini|env|conf|cfg|properties|ya?ml)$') AS config FROM paths GROUP BY 1, 2)
+SELECT session_id, path, CAST(row_number() OVER (PARTITION BY session_id ORDER BY config DESC, idx, path) AS INTEGER) AS r FROM f QUALIFY r <= 20""",
+    "h02_digests": digests,
+    "h03_chain_keys": chains,
+    "w14_fresh": first_seen,
+    "x01_text_stats": lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in tokens.stats(F.coalesce("text", F.lit(""))).items())),
+    "x02_content_class": classes,
+    "x03_document_estimates": document_estimates,
+    "x06_message_estimates": estimates,
+    "a32_request_counts": request_counts,
+    "x10_snapshots": snapshots,
+    "x12_test_tallies": test_tallies,
+    "x13_excerpts": excerpts,
+    "x15_tags": tags,
+    "p10_tool_globs": globs,
+}
+
+_SENTENCES = f"""{WITH_TRANSCRIPT}, s AS (
+  SELECT session_id, idx, [trim(x) FOR x IN string_split(replace(regexp_replace(content, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)) IF trim(x) <> ''] AS list
+  FROM transcript WHERE role = 'user'
+), sentences AS (
+  SELECT session_id, idx, CAST(pos - 1 AS INTEGER) AS pos, list[pos] AS sentence FROM (SELECT *, unnest(generate_series(1, len(list))) AS pos FROM s)
+)"""
+_WORDS = "[w FOR w IN list_distinct([lower(x) FOR x IN regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]{{3,}}')]) IF w NOT IN (" + _STOP_SQL + ")]"
+_IDS = f"""{WITH_TRANSCRIPT}, ids AS (
+  SELECT DISTINCT session_id, idx, unnest(regexp_extract_all(content, '\\b[A-Z]{{2,}}(?:-[A-Z0-9]+)*-[A-Z]*[0-9][A-Z0-9]*\\b')) AS id FROM transcript WHERE role = 'user'
+)"""
+_PATHS = f"""{WITH_TRANSCRIPT}, paths AS (
+  SELECT session_id, idx, regexp_extract(content, '^((?:[\\w.@-]+/)+[\\w.@-]+\\.[A-Za-z0-9]{{1,8}})', 1) AS path FROM transcript WHERE role = 'tool' AND tool_name = 'read_file'
+)"""
+_SAME = """({0} = {1} OR regexp_replace({0}, '^(?:\\./)+', '') = regexp_replace({1}, '^(?:\\./)+', '')
+  OR (contains(regexp_replace({0}, '^(?:\\./)+', ''), '/') AND ends_with({1}, '/' || regexp_replace({0}, '^(?:\\./)+', '')))
+  OR (contains(regexp_replace({1}, '^(?:\\./)+', ''), '/') AND ends_with({0}, '/' || regexp_replace({1}, '^(?:\\./)+', ''))))"""
+_CLASS = f"""{WITH_TRANSCRIPT}, classes AS MATERIALIZED (
   SELECT session_id, idx, content, CASE
     WHEN (length(content) - length(replace(content, '[ref=', ''))) / 5 >= 10 AND contains(content, 'Page URL:') THEN 'snapshot'
     WHEN regexp_matches(content, '(?m)\\b\\d+ (?:passed|failed|skipped|flaky)\\b|^Running \\d+ tests? using') THEN 'testOutput'
@@ -247,9 +331,9 @@ SQL = {
     "f14_content_words": f"{WITH_TRANSCRIPT} SELECT session_id, idx, array_to_string(list_sort({_WORDS.format('content')}), ' ') AS words FROM transcript WHERE role = 'user'",
     "f15_explicit_ids": f"{_IDS} SELECT session_id, idx, id FROM ids WHERE regexp_matches(id, '[0-9]')",
     "f25_paths": f"{_PATHS} SELECT * FROM paths",
-    "j03_same_path": f"""{_PATHS}, p AS (
-  SELECT session_id, idx, CASE WHEN idx % 2 = 0 THEN './' || path WHEN idx % 3 = 0 THEN 'app/' || path ELSE path END AS path FROM paths
-) SELECT a.session_id, a.idx AS a, b.idx AS b, a.path AS path_a, b.path AS path_b FROM p a JOIN p b ON a.session_id = b.session_id AND a.idx < b.idx
+    "j03_same_path": f"""{_PATHS.replace("paths AS (", "paths AS MATERIALIZED (")}, p AS MATERIALIZED (
+  SELECT *, regexp_extract(regexp_replace(path, '^(?:\\./)+', ''), '([^/]+/[^/]+)$', 1) AS k FROM (SELECT session_id, idx, CASE WHEN idx % 2 = 0 THEN './' || path WHEN idx % 3 = 0 THEN 'app/' || path ELSE path END AS path FROM paths)
+) SELECT a.session_id, a.idx AS a, b.idx AS b, a.path AS path_a, b.path AS path_b FROM p a JOIN p b ON a.session_id = b.session_id AND a.k = b.k AND a.idx < b.idx
 WHERE {_SAME.format('a.path', 'b.path')}""",
     "j04_recurs_anti": f"""{_PATHS}, n AS (SELECT session_id, count(*) AS n FROM transcript GROUP BY 1), p AS (SELECT * FROM paths JOIN n USING (session_id))
 SELECT session_id, idx, path FROM p WHERE idx < n - 4 AND NOT EXISTS (
@@ -285,8 +369,8 @@ SELECT session_id, count(DISTINCT d) AS fresh, count(*) AS n FROM d GROUP BY 1""
 FROM transcript WHERE role = 'tool' AND contains(content, '[ref=')""",
     "x12_test_tallies": f"""{WITH_TRANSCRIPT}, t AS (SELECT session_id, idx, CAST(regexp_extract(content, '(\\d+) passed', 1) AS BIGINT) AS passed, CAST(regexp_extract(content, '(\\d+) failed', 1) AS BIGINT) AS failed
   FROM transcript WHERE role = 'tool' AND tool_name = 'run_tests') SELECT *, failed > 0 AS red FROM t""",
-    "x13_excerpts": f"""{WITH_TRANSCRIPT} SELECT session_id, idx, CASE WHEN length(content) <= 100 THEN content
-  ELSE substring(content, 1, 60) || '[' || (length(content) - 100) || ' left out]' || right(content, 40) END AS excerpt FROM transcript WHERE role = 'tool'""",
+    "x13_excerpts": """WITH d AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN length(t) <= 400 THEN t ELSE substring(t, 1, 240) || '[' || (length(t) - 400) || ' left out]' || right(t, 160) END) AS excerpt FROM d""",
     "x15_tags": f"""{WITH_TRANSCRIPT} SELECT session_id, idx, lower(regexp_extract(content, '^(DECISION|TODO): (.*)$', 1)) AS tag, regexp_extract(content, '^(DECISION|TODO): (.*)$', 2) AS item
 FROM transcript WHERE role = 'assistant' AND regexp_matches(content, '^(DECISION|TODO): ')""",
     "p10_tool_globs": f"""{WITH_TRANSCRIPT} SELECT CASE WHEN tool_name LIKE '%\\_file' ESCAPE '\\' THEN 'file' WHEN tool_name LIKE 'run\\_%' ESCAPE '\\' THEN 'shell'

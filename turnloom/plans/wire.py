@@ -90,9 +90,11 @@ def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("too many tokens"))
     )
     o = read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"), F.lit(100000).cast("long").alias("configured"), (F.col("o_custkey") * 900 + 500).cast("long").alias("raw"))
-    c = errors.classify(F.lit(400), F.col("body"))
-    v = errors.validated(c, F.col("configured"), F.col("raw"))
-    return o.select("o_orderkey", c["rule"].alias("rule"), *(x.alias(name) for name, x in v.items()))
+    o = o.withColumn("message", errors.message_of(F.col("body")))
+    c = errors.classify(F.lit(400), F.col("body"), F.col("message"))
+    told = o.select("o_orderkey", "configured", "raw", *(x.alias(name) for name, x in c.items()))
+    v = errors.validated({name: F.col(name) for name in c}, F.col("configured"), F.col("raw"))
+    return told.select("o_orderkey", "rule", *(x.alias(name) for name, x in v.items()))
 
 
 def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ UNION ALL SELECT concat_ws(',', strftime(bucket, '%Y-%m-%dT%H:%M:%SZ'), requests
     "x25_validated_numbers": """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST((o_custkey + 1) * 1000 AS BIGINT) AS n, CAST(o_custkey * 900 + 500 AS BIGINT) AS raw FROM orders), c AS (
   SELECT *, CASE k WHEN 0 THEN n WHEN 1 THEN n + 10 WHEN 2 THEN n END AS prompt, CASE k WHEN 0 THEN 32000 WHEN 2 THEN n - 50 END AS w, CASE k WHEN 1 THEN n - 1 END AS l FROM o), b AS (SELECT *, prompt IS NULL OR prompt BETWEEN 0.8 * raw AND 1.25 * raw AS band FROM c)
 SELECT o_orderkey, CASE k WHEN 0 THEN 'vllm.v011.prompt' WHEN 1 THEN 'tgi.prompt' WHEN 2 THEN 'sglang.prompt' ELSE 'generic.suspect' END AS rule, CAST(CASE WHEN band AND w > 0 AND w < 100000 THEN w END AS BIGINT) AS "window", CASE WHEN band AND l >= 25000 AND l < 100000 THEN l END AS max_prompt,
-  CASE WHEN band THEN prompt END AS prompt_exact, CASE WHEN NOT band THEN 'prompt' WHEN w IS NOT NULL AND NOT (w > 0 AND w < 100000) THEN 'window' WHEN l IS NOT NULL AND NOT (l >= 25000 AND l < 100000) THEN 'limit' END AS refused FROM b""",
+  CASE WHEN band THEN prompt END AS prompt_exact, CAST(NULL AS BIGINT) AS prompt_least, CASE WHEN NOT band THEN 'prompt' WHEN w IS NOT NULL AND NOT (w > 0 AND w < 100000) THEN 'window' WHEN l IS NOT NULL AND NOT (l >= 25000 AND l < 100000) THEN 'limit' END AS refused FROM b""",
     "t09_natural_sort": "SELECT p_partkey, 'req-' || lpad(CAST(p_partkey * 7 % 1000 AS VARCHAR), 20, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') || '.json' AS key FROM part",
     "f07_thousands": """WITH t AS (SELECT o_orderkey, CAST(round(o_orderkey * 4127 / 100.0) AS BIGINT) AS tenths FROM orders), w AS (SELECT *, tenths // 10 AS whole, (SELECT max(x) FROM range(0, 1100) AS r(d), LATERAL (SELECT tenths // 10 - d AS x) AS y WHERE x >= 0 AND NOT regexp_matches(CAST(x AS VARCHAR), '429|500|502|503|504|524')) AS best FROM t)
 SELECT o_orderkey, best || '.' || CASE WHEN best = whole THEN tenths - whole * 10 ELSE 9 END || 'k' AS about FROM w""",
