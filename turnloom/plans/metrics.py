@@ -128,11 +128,11 @@ def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delays between any two events of a day: their 99th percentile in milliseconds, and how many stall (an hour and more)."""
+    """Delays between any two events of a day: their 99th percentile in microseconds, and how many stall (an hour and more)."""
     views(spark, sf_dir, "events")
-    e = spark.table("events").select(F.to_date("ts").cast("string").alias("day"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
-    g = e.withColumn("gap", F.col("ms") - F.lag("ms").over(Window.partitionBy("day").orderBy("ms", "event_id"))).where("gap is not null")
-    return g.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.expr("cast(percentile_disc(0.99) within group (order by gap) as bigint)").alias("p99"), F.count_if(F.col("gap") >= 3_600_000).alias("stalls"))
+    e = spark.table("events").select(F.to_date("ts").cast("string").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    g = e.withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("day").orderBy("us", "event_id"))).where("gap is not null")
+    return g.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.expr("cast(percentile_disc(0.99) within group (order by gap) as bigint)").alias("p99"), F.count_if(F.col("gap") >= 3_600_000_000).alias("stalls"))
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +219,8 @@ SELECT kind, n, passes, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z /
 SELECT session_id, seq, l[CAST(ceil(len(l) * CAST(0.9 AS DOUBLE)) AS BIGINT)] AS p90, round(m, 6) AS mean FROM g""",
     "a28_chunk_gaps": """WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT user_id, max(gap) AS worst, quantile_disc(gap, 0.99) AS p99 FROM g WHERE gap IS NOT NULL GROUP BY 1""",
-    "a35_event_lag": """WITH g AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY epoch_ms(ts), event_id) AS gap FROM events)
-SELECT day, count(*) AS n, quantile_disc(gap, 0.99) AS p99, count(*) FILTER (WHERE gap >= 3600000) AS stalls FROM g WHERE gap IS NOT NULL GROUP BY 1""",
+    "a35_event_lag": """WITH g AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY epoch_us(ts), event_id) AS gap FROM events)
+SELECT day, count(*) AS n, quantile_disc(gap, 0.99) AS p99, count(*) FILTER (WHERE gap >= 3600000000) AS stalls FROM g WHERE gap IS NOT NULL GROUP BY 1""",
     "j13_interval_overlap": """SELECT a.user_id, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND b.ts < a.ts + INTERVAL 10 MINUTE GROUP BY 1""",
     "w23_distinct_24h": """WITH w AS (SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS types FROM events) SELECT * FROM w WHERE types >= 2""",
     "t05_newest_buckets": """WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY bucket DESC) AS r FROM h)
