@@ -210,3 +210,15 @@ def test_output_paths(spark):
     rows = [(1, 0, "assistant", "", "c1", None, "bash", '{"path":"./own/me.ts"}'), (1, 1, "tool", text, "c1", None, None, None), (1, 2, "tool", listing, "c1", None, None, None)]
     got = [(r["idx"], r["path"], r["place"]) for r in facts.output_paths(spark.createDataFrame(rows, LOG)).orderBy("idx", "place").collect()]
     assert got == [(1, "conf/app.yaml", 1), (1, "/w/src/a/b.ts", 2), (1, "lib/c.py", 3)]
+
+
+def test_run_is_not_dealt_out_or_written(spark, small, monkeypatch):
+    """What a session's requests repeat stays within its row: lines and orders travel once, sums alone after them, and nothing is written."""
+    from turnloom.plans.registry import QUERIES
+    from turnloom.sources import store
+
+    monkeypatch.setattr(store, "_written", {})
+    for name in ("j11_defects_of_client", "ra_actions", "rg_guard", "s01_new_defects", "w13_rewrites", "a18_dropped_results", "st05_replans", "a14_prefix", "a19_fact_results", "a20_confusion", "a26_gates", "j14_successors", "w22_shared_prefix"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(session_id") == 1 and "Join" not in plan and plan.count("Exchange") <= 2, name
+    assert not store._written

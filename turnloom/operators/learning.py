@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.hashing import is_prefix
+
 #: Largest share of the budget that tightening may take, changes kept, share of a refused body that is safe.
 MOST_TIGHTEN, LOG, SAFE_BYTES, CAP, DAY = 0.5, 32, 0.9, 1.05, 24 * 3600 * 1000
 LEARNED = "key string, n long, window long, max_prompt long, max_bytes long, correction double, tighten long, changes long"
@@ -73,9 +75,6 @@ def client_compactions(requests: DataFrame, marker: str, trigger: int) -> DataFr
     return requests.withColumn("before", before).where(F.trim("last_user") == marker).select("session_id", "step", "before", F.coalesce(F.col("before") < trigger, F.lit(False)).alias("early"))
 
 
-def replans(views: DataFrame) -> DataFrame:
-    """Why a step was planned anew: views(session_id, step, client, client_before, inputs) with the digests of this request and the one before."""
-    inputs = F.lag("inputs").over(Window.partitionBy("session_id").orderBy("step"))
-    same = F.slice("client", F.lit(1), F.size("client_before")) == F.col("client_before")
-    reason = F.when(F.col("client_before").isNull(), "new_session").when(~F.col("inputs_before").eqNullSafe(F.col("inputs")), "inputs_changed").when(~same, "client_mutation").otherwise("none")
-    return views.withColumn("inputs_before", inputs).select("session_id", "step", reason.alias("reason"))
+def replan(client_before: Column, inputs_before: Column, client: Column, inputs: Column) -> Column:
+    """Why a step was planned anew, from the messages (digests or places) and inputs of this request and the one before."""
+    return F.when(client_before.isNull(), "new_session").when(~inputs_before.eqNullSafe(inputs), "inputs_changed").when(~is_prefix(client_before, client), "client_mutation").otherwise("none")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import templates
 from turnloom.operators import learning
 from turnloom.plans.metrics import upstream
-from turnloom.plans.runs import requests, views
+from turnloom.plans.runs import total, views
 from turnloom.sources import files
 from turnloom.sources.requests import UPSTREAM_SQL
-from turnloom.sources.runs import RUN_SQL, run
+from turnloom.sources.runs import RUN_SQL, let, run
 from turnloom.sources.tables import read
 from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
 
@@ -39,17 +39,24 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions change their inputs at step 4; some clients drop their oldest result from step 5 on."""
-    v = views(requests(run(spark, sf_dir))).where("client is not null")
-    mutated = F.when((F.col("step") >= 5) & (F.col("session_id") % 4 == 0), F.concat(F.slice("client", 1, 2), F.slice("client", F.lit(4), F.size("client")))).otherwise(F.col("client"))
-    v = v.select("session_id", "step", mutated.alias("client"), F.when((F.col("session_id") % 5 == 0) & (F.col("step") >= 4), 2).otherwise(1).alias("inputs"))
-    v = v.withColumn("client_before", F.lag("client").over(Window.partitionBy("session_id").orderBy("step")))
-    return learning.replans(v).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    s = F.col("session_id")
+
+    def client(x: Column) -> Column:
+        at = x["client"]
+        dropped = F.concat(F.slice(at, F.lit(1), F.lit(2)), F.slice(at, F.lit(4), F.greatest(F.size(at) - 3, F.lit(0))))
+        return F.struct(F.when((x["step"] >= 5) & (s % 4 == 0), dropped).otherwise(at).alias("client"), F.when((s % 5 == 0) & (x["step"] >= 4), 2).otherwise(1).alias("inputs"))
+
+    mutated = F.transform(F.filter(views(F.col("steps")), lambda x: x["client"].isNotNull()), client)
+    reasons = let(mutated, lambda l: F.transform(l, lambda x, i: let(F.get(l, i - 1), lambda b: learning.replan(b["client"], b["inputs"], x["client"], x["inputs"]))))
+    return run(spark, sf_dir, ["idx"]).select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def compactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose last message is the session's correction, taken as a client's marker."""
-    r = run(spark, sf_dir).where("attempt = 0")
-    per = r.groupBy("session_id", "step").agg(F.sum("tokens").alias("prompt"), F.max_by("content", "pos").alias("last_user"))
+    tokens = F.transform("messages", lambda m: m["tokens"])
+    told = lambda x: F.get(F.col("messages"), F.element_at(x["client"], -1))["content"]
+    per = let(tokens, lambda t: F.transform(F.filter(views(F.col("steps")), lambda x: x["client"].isNotNull()), lambda x: F.struct(x["step"].alias("step"), total(x["client"], t).alias("prompt"), told(x).alias("last_user"))))
+    per = run(spark, sf_dir, ["content", "tokens"]).select("session_id", F.explode(per).alias("x")).select("session_id", "x.*")
     per = per.withColumn("last_user", F.when(F.col("last_user").startswith(MARKER), "marker").otherwise(F.col("last_user")))
     return learning.client_compactions(per, "marker", 150)
 
