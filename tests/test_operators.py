@@ -341,3 +341,12 @@ def test_plans_are_resumed_and_keep_a_bounded_state():
     plan = planner.Plan()
     planner.advance(plan, [(i, "user" if i == 0 else "assistant" if i % 2 else "tool", 200, False) for i in range(20_000)], limits, True)
     assert len(plan.front) + len(plan.tail) + len(plan.short) < 100
+
+
+def test_walks_take_batches_of_sessions(spark, small):
+    """No group of pandas for each session, and no dealing out anew of a log that is dealt out by session."""
+    from turnloom.plans.registry import QUERIES
+
+    for name in ("w10_tab_states", "j02_unit_pairs", "st15_client_compaction", "st03_session_plans", "x19_superseded"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and plan.count("Exchange") == 1, name

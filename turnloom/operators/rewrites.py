@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.operators import sessions
+
 HEAD_SHARE, TRIES, CHARS = 0.8, 6, 4
 #: Roles that stay in a slimmed snapshot.
 INTERACTIVE = ("button", "link", "textbox", "checkbox", "combobox", "radio", "tab", "menuitem")
@@ -101,12 +103,11 @@ def tabs(events: list[tuple[str, str]]) -> tuple[list[str], int]:
 def tab_states(events: DataFrame) -> DataFrame:
     """session_id, tabs, current from events(session_id, n, kind, value)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        urls, now = tabs(list(zip(pdf["kind"], pdf["value"], strict=True)))
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "tabs": [len(urls)], "current": [urls[now]]})
+    def fold(session: int, rows: list[tuple]) -> list[tuple]:
+        urls, now = tabs([r[1:] for r in rows])
+        return [(session, len(urls), urls[now])]
 
-    return events.groupBy("session_id").applyInPandas(fold, "session_id long, tabs long, current string")
+    return sessions.walk(events, ["kind", "value"], fold, "session_id long, tabs long, current string", "n")
 
 
 def pair_unit(calls: list[str], results: list[str | None]) -> list[int | None]:
@@ -125,24 +126,23 @@ def pair_unit(calls: list[str], results: list[str | None]) -> list[int | None]:
 def unit_pairs(log: DataFrame) -> DataFrame:
     """session_id, idx (of the result), call_idx, pos by pair_unit, unit by unit."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(session: int, rows: list[tuple]) -> list[tuple]:
         out, unit, calls, results = [], None, [], []
 
         def close() -> None:
             for (idx, _), pos in zip(results, pair_unit(calls, [r for _, r in results]), strict=True):
-                out.append((pdf["session_id"].iloc[0], idx, unit, pos))
+                out.append((session, idx, unit if pos is not None else None, pos))
 
-        for idx, role, a, b in pdf.sort_values("idx")[["idx", "role", "call_id", "call_id2"]].itertuples(index=False):
+        for idx, role, a, b in rows:
             if role == "tool" and unit is not None:
                 results.append((idx, a))
             elif role != "tool":
                 close()
                 unit, calls, results = (idx, [x for x in (a, b) if x], []) if role == "assistant" else (None, [], [])
         close()
-        out = [(s, i, c if p is not None else None, p) for s, i, c, p in out]
-        return pd.DataFrame(out, columns=["session_id", "idx", "call_idx", "pos"]).astype({"call_idx": "Int64", "pos": "Int64"})
+        return out
 
-    return log.select("session_id", "idx", "role", "call_id", "call_id2").groupBy("session_id").applyInPandas(walk, "session_id long, idx int, call_idx long, pos long")
+    return sessions.walk(log, ["role", "call_id", "call_id2"], fold, "session_id long, idx int, call_idx long, pos long")
 
 
 def client_compaction(log: DataFrame, limit: int, reply: int) -> DataFrame:
@@ -154,21 +154,25 @@ def client_compaction(log: DataFrame, limit: int, reply: int) -> DataFrame:
     usable = limit - reply
     preserve = min(15000, max(min(2000, usable // 2), usable // 4))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(session: int, rows: list[tuple]) -> list[tuple]:
         main = rejected = summaries = requests = 0
         sent: list[int] = []
-        for role, size in pdf.sort_values("idx")[["role", "tokens"]].itertuples(index=False):
+        whole = 0
+        for _, role, size in rows:
             if role == "assistant":
                 requests += 1
-                if sum(sent) + reply > limit:
-                    rejected += sum(sent)
+                if whole + reply > limit:
+                    rejected += whole
                     summaries += 1
-                    tail: list[int] = []
-                    while sent and sum(tail) + sent[-1] <= preserve:
-                        tail.insert(0, sent.pop())
-                    sent = [min(1500, 50 + sum(sent) // 10), *tail]
-                main += sum(sent)
+                    at, tail = len(sent), 0
+                    while at and tail + sent[at - 1] <= preserve:
+                        at -= 1
+                        tail += sent[at]
+                    sent = [min(1500, 50 + (whole - tail) // 10), *sent[at:]]
+                    whole = sent[0] + tail
+                main += whole
             sent.append(size)
-        return pd.DataFrame([(pdf["session_id"].iloc[0], requests, main, rejected, summaries)], columns=["session_id", "requests", "main", "rejected", "summaries"])
+            whole += size
+        return [(session, requests, main, rejected, summaries)]
 
-    return log.select("session_id", "idx", "role", "tokens").groupBy("session_id").applyInPandas(walk, "session_id long, requests long, main long, rejected long, summaries long")
+    return sessions.walk(log, ["role", "tokens"], fold, "session_id long, requests long, main long, rejected long, summaries long")

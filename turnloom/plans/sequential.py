@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from turnloom.functions import tokens
 from turnloom.operators import planner, rewrites, supersede
 from turnloom.plans.metrics import upstream
-from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
+from turnloom.sources.transcript import WITH_TRANSCRIPT, log, transcript
 from turnloom.streaming import calibration_batch
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = transcript(spark, sf_dir)
     size = (tokens.estimate(F.col("content")) + tokens.MESSAGE_OVERHEAD).alias("tokens")
-    return log.select("session_id", "idx", "role", size, F.coalesce(F.col("content").contains("- Page Snapshot:"), F.lit(False)).alias("snapshot"))
+    return log(spark, sf_dir, "role", "content").select("session_id", "idx", "role", size, F.coalesce(F.col("content").contains("- Page Snapshot:"), F.lit(False)).alias("snapshot"))
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supersede.superseded(transcript(spark, sf_dir))
+    return supersede.superseded(log(spark, sf_dir, "role", "content"))
 
 
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,27 +43,27 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tab_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser events: a snapshot navigates, other tools open, select or close tabs by their part."""
-    log = transcript(spark, sf_dir).where("role = 'tool'")
+    results = log(spark, sf_dir, "role", "content", "tool_name").where("role = 'tool'")
     kind = F.when(F.col("tool_name") == "browser_snapshot", "navigate").when(F.col("idx") % 4 == 0, "new").when(F.col("idx") % 4 == 2, "select").otherwise("close")
     value = F.when(kind.isin("navigate", "new"), F.regexp_extract("content", r"(https?://\S+|^\S+)", 1)).otherwise((F.col("idx") % 3).cast("string"))
-    return rewrites.tab_states(log.select("session_id", F.col("idx").alias("n"), kind.alias("kind"), value.alias("value")))
+    return rewrites.tab_states(results.select("session_id", F.col("idx").alias("n"), kind.alias("kind"), value.alias("value")))
 
 
 def truncations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = transcript(spark, sf_dir).where("role = 'tool'")
-    return log.select("session_id", "idx", rewrites.truncate(F.col("content"), 25).alias("truncated"))
+    results = transcript(spark, sf_dir).where("role = 'tool'")
+    return results.select("session_id", "idx", rewrites.truncate(F.col("content"), 25).alias("truncated"))
 
 
 def slimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = transcript(spark, sf_dir).where("tool_name = 'browser_snapshot' and role = 'tool'")
-    return log.select("session_id", "idx", rewrites.slim(F.col("content"), 60).alias("slimmed"))
+    shots = transcript(spark, sf_dir).where("tool_name = 'browser_snapshot' and role = 'tool'")
+    return shots.select("session_id", "idx", rewrites.slim(F.col("content"), 60).alias("slimmed"))
 
 
 QUERIES = {
     "w10_tab_states": tab_states,
     "f19_truncated": truncations,
     "x11_slimmed": slimmed,
-    "j02_unit_pairs": lambda spark, sf_dir: rewrites.unit_pairs(transcript(spark, sf_dir)),
+    "j02_unit_pairs": lambda spark, sf_dir: rewrites.unit_pairs(log(spark, sf_dir, "role", "call_id", "call_id2")),
     "st15_client_compaction": lambda spark, sf_dir: rewrites.client_compaction(sized(spark, sf_dir), 900, 300),
     "st03_session_plans": plans, "a11_plan_actions": plan_actions, "x19_superseded": replaced, "st07_calibration": calibrated,
 }
