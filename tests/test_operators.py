@@ -350,3 +350,9 @@ def test_walks_take_batches_of_sessions(spark, small):
     for name in ("w10_tab_states", "j02_unit_pairs", "st15_client_compaction", "st03_session_plans", "x19_superseded"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and plan.count("Exchange") == 1, name
+
+
+def test_estimates_make_the_class_once():
+    """The class's patterns stand in an estimate once, not at each mention."""
+    plan = str(tokens.estimate(F.col("t")))
+    assert plan.count("Running") == 1

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import templates
+from turnloom.functions.let import let
 from turnloom.operators import learning
 from turnloom.plans.metrics import upstream
 from turnloom.plans.runs import total, views
 from turnloom.sources import files
 from turnloom.sources.requests import UPSTREAM_SQL
-from turnloom.sources.runs import RUN_SQL, let, run
+from turnloom.sources.runs import RUN_SQL, run
 from turnloom.sources.tables import read
 from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
 
