@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as t
+from turnloom.functions.let import let
 from turnloom.operators import structure as s
 from turnloom.operators import supersede
 
@@ -57,17 +58,22 @@ def user_items(log: DataFrame, heads: int = 1) -> DataFrame:
 
     The first heads messages of a user are the task: what replaces a sentence of theirs amends it, and they stay whole.
     """
-    facts_ = user_facts(log).where("fact")
-    gone = supersede.superseded(log, heads).dropDuplicates(["session_id", "idx", "sentence"])
-    replaced = gone.where("rule <> 'amends'").select("session_id", "idx", F.col("sentence").alias("n"), "by_idx")
-    amends = gone.where("rule = 'amends'").select("session_id", F.col("by_idx").alias("idx"), F.lit(" (amends the task)").alias("amends")).distinct()
-    s_ = facts_.select("session_id", "idx", "text", F.posexplode(t.sentences(F.col("text"))).alias("n", "sentence")).join(replaced, ["session_id", "idx", "n"], "left")
-    by = F.array_join(F.transform(F.array_sort(F.collect_set("by_idx")), lambda i: F.concat(F.lit("#"), i.cast("string"))), ", ")
-    left = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("by_idx").isNull(), F.struct("n", "sentence")))), lambda x: x["sentence"]), " ")
-    per = s_.groupBy("session_id", "idx").agg(F.first("text").alias("text"), F.count("by_idx").alias("gone"), left.alias("left"), by.alias("by")).join(amends, ["session_id", "idx"], "left")
-    body = F.when(F.col("gone") == 0, F.col("text")).otherwise(F.col("left"))
-    status = F.when(F.col("gone") == 0, "").when(F.col("left") == "", F.concat(F.lit("(superseded by "), "by", F.lit(")"))).otherwise(F.concat(F.lit("(part superseded by "), "by", F.lit(")")))
-    return per.select("session_id", "idx", body.alias("body"), F.trim(F.concat(status, F.coalesce("amends", F.lit("")))).alias("suffix"))
+    # what was replaced is joined as one row a session, so that texts are not dealt out by message and sentence
+    gone = supersede.superseded(log, heads).groupBy("session_id").agg(F.collect_list(F.struct("idx", "sentence", "by_idx", "rule")).alias("gone"))
+    every = F.coalesce("gone", F.array().cast("array<struct<idx:int,sentence:int,by_idx:int,rule:string>>"))
+    facts_ = user_facts(log).where("fact").join(gone, "session_id", "left").withColumn("gone", every)
+    mine = F.filter("gone", lambda g: (g["idx"] == F.col("idx")) & (g["rule"] != "amends"))
+    amends = F.when(F.exists("gone", lambda g: (g["by_idx"] == F.col("idx")) & (g["rule"] == "amends")), " (amends the task)").otherwise("")
+
+    def item(mine: Column) -> Column:
+        left = F.array_join(F.filter(t.sentences(F.col("text")), lambda x, n: ~F.exists(mine, lambda g: g["sentence"] == n)), " ")
+        by = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(mine, lambda g: g["by_idx"]))), lambda i: F.concat(F.lit("#"), i.cast("string"))), ", ")
+        status = lambda x: F.when(x == "", F.concat(F.lit("(superseded by "), by, F.lit(")"))).otherwise(F.concat(F.lit("(part superseded by "), by, F.lit(")")))
+        whole = F.struct(F.col("text").alias("body"), F.lit("").alias("status"))
+        return F.when(F.size(mine) == 0, whole).otherwise(let(left, lambda x: F.struct(x.alias("body"), status(x).alias("status"))))
+
+    per = facts_.where(F.size(t.sentences(F.col("text"))) > 0).select("session_id", "idx", let(mine, item).alias("x"), amends.alias("amends"))
+    return per.select("session_id", "idx", F.col("x.body").alias("body"), F.trim(F.concat("x.status", "amends")).alias("suffix"))
 
 
 #: What a path may be made of, and the longest run that is looked at.

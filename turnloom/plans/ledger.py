@@ -11,7 +11,7 @@ from turnloom.operators import facts
 from turnloom.operators.structure import SUMMARY_HEADER
 from turnloom.plans.sessions import _ANSWER
 from turnloom.plans.structure import _CALLS, _KEPT, _UNITS
-from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
+from turnloom.sources.transcript import WITH_TRANSCRIPT, log, transcript
 
 #: Newest units kept, and cost that a summary may have, in these queries.
 KEEP, BUDGET = 2, 60
@@ -42,7 +42,7 @@ QUERIES = {
     "x22_summaries": _on(lambda log: facts.summaries(facts.items(log, KEEP), BUDGET, False)),
     "as_assembled": _on(lambda log: facts.assembled(log, BUDGET, KEEP).select("session_id", "pos", "origin", "role", F.md5("content").alias("digest"))),
     "a29_todo_closure": _on(todo_lists),
-    "x21_user_items": _on(facts.user_items),
+    "x21_user_items": lambda spark, sf_dir: facts.user_items(log(spark, sf_dir, "role", "content", role="user")),
 }
 
 _FACTS = f"""{WITH_TRANSCRIPT}, {_UNITS}, {_KEPT.replace("age <= 4", f"age <= {KEEP}")}, {_CALLS}, {_ANSWER}, calls1 AS (

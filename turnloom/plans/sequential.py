@@ -33,7 +33,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supersede.superseded(log(spark, sf_dir, "role", "content"))
+    return supersede.superseded(log(spark, sf_dir, "role", "content", role="user"))
 
 
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
