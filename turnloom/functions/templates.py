@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom.functions import tokens
+from turnloom.functions.let import let
 
 #: Tokens of the glue that the templates write, images, and characters a token of other glue.
 GLUE = {"\n": 1, "<|im_end|>\n": 2, "<|im_start|>user\n": 3, "<|im_start|>system\n": 3, "<|im_start|>assistant\n": 3, "\n<tool_call>\n": 3, "\n</tool_call>": 2, "<|im_start|>user\n<tool_response>\n": 6, "\n</tool_response><|im_end|>\n": 4}
@@ -15,7 +16,10 @@ KNOWN = ("system", "developer", "user", "assistant", "tool", "function")
 
 
 def _call(name: Column, arguments: Column) -> Column:
-    return F.concat(F.lit('{"name": '), F.to_json(F.struct(name.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(name.alias("x")))) - 6), F.lit(', "arguments": '), F.coalesce(arguments, F.lit("null")), F.lit("}"))
+    quoted = let(F.to_json(F.struct(name.alias("x"))), lambda x: x.substr(F.lit(6), F.length(x) - 6))
+    # a plain name stands as it is in JSON
+    quoted = F.when(name.rlike(r"\A[A-Za-z0-9_.-]+\z"), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(quoted)
+    return F.concat(F.lit('{"name": '), quoted, F.lit(', "arguments": '), F.coalesce(arguments, F.lit("null")), F.lit("}"))
 
 
 def rendered(role: Column, content: Column, name: Column, arguments: Column) -> Column:
@@ -47,6 +51,14 @@ def generic(content: Column, reasoning: Column, arguments: Column) -> Column:
     return (GENERIC + part(content) + part(reasoning) + part(arguments, F.lit("json"))).cast("long")
 
 
+def both(role: Column, content: Column, name: Column, arguments: Column) -> Column:
+    """tokens (measured) and generic of a message without images and reasoning, with its text estimated once."""
+    text = tokens.estimate(F.coalesce(content, F.lit("")))
+    call = F.when(name.isNotNull(), tokens.estimate(_call(name, arguments), F.lit("json"))).otherwise(0)
+    own = F.when(F.coalesce(F.length(arguments), F.lit(0)) > 0, tokens.estimate(arguments, F.lit("json"))).otherwise(0)
+    return let(text, lambda n: F.struct((n + call + glue_tokens(role, name)).cast("long").alias("tokens"), (GENERIC + n + own).cast("long").alias("generic")))
+
+
 def fixed_chars(json: Column) -> Column:
     """The plain estimate: a quarter of the characters of the JSON."""
     return F.floor(F.length(json) / 4).cast("long")

@@ -14,7 +14,7 @@ from turnloom.sources import files
 from turnloom.sources.requests import UPSTREAM_SQL
 from turnloom.sources.runs import RUN_SQL, run
 from turnloom.sources.tables import read
-from turnloom.sources.transcript import WITH_TRANSCRIPT, transcript
+from turnloom.sources.transcript import WITH_TRANSCRIPT, log, transcript
 
 MARKER = "Correction for ORD-"
 
@@ -72,10 +72,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = transcript(spark, sf_dir)
+    """A session's tokens by template and without; both share the estimates of the texts."""
+    rows = log(spark, sf_dir, "role", "content", "tool_name", "arguments")
     name = F.when(F.col("role") == "assistant", F.col("tool_name"))
-    per = templates.measured(F.col("role"), F.col("content"), name, F.col("arguments"))
-    return log.select("session_id", per.alias("tokens"), templates.generic(F.col("content"), F.lit(None).cast("string"), F.col("arguments")).alias("generic")).groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.sum("generic").alias("generic"))
+    both = templates.both(F.col("role"), F.col("content"), name, F.col("arguments"))
+    return rows.select("session_id", both.alias("x")).groupBy("session_id").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.generic").alias("generic"))
 
 
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
