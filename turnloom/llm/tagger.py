@@ -196,8 +196,7 @@ def _run(m: dict[str, np.ndarray], side: str, x: np.ndarray) -> tuple[np.ndarray
 
 def _fast_tanh(x: np.ndarray, scratch: np.ndarray) -> None:
     """tanh within 0.024, in place, by a rational function that is 1 at 3; a fifth of the time of tanh."""
-    np.minimum(x, 3, out=x)
-    np.maximum(x, -3, out=x)
+    np.clip(x, -3, 3, out=x)
     # x (27 + x^2) / (27 + 9 x^2) = x / 9 (1 + 24 / (3 + x^2))
     np.multiply(x, x, out=scratch)
     scratch += 3
@@ -214,26 +213,28 @@ def emissions(m: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     e[:] = m["bias"][:, None]
     by_time = np.ascontiguousarray(x.T).astype(np.intp)
     # a sigmoid is half of 1 + tanh of the half: one call serves all gates, and the outer halves are in the weights
-    half = np.repeat(np.float32([0.5, 1.0]), [3 * HIDDEN, HIDDEN])
-    one = np.repeat(np.float32([1.0, 0.0]), [3 * HIDDEN, HIDDEN])
-    z, zz, part = np.empty((n, 4 * HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32), np.empty((TAGS, n), np.float32)
+    half = np.float32([0.5, 0.5, 0.5, 1.0])[:, None, None]
+    # gate by gate in memory: numpy is slow on short runs
+    gates = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, HIDDEN).transpose(1, 0, 2))
+    z, zz, part = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32), np.empty((TAGS, n), np.float32)
     h, c, u = (np.empty((n, HIDDEN), np.float32) for _ in range(3))
     for side, out in (("l", m["out"][:HIDDEN] * np.float32(0.5)), ("r", m["out"][HIDDEN:] * np.float32(0.5))):
-        table, w = m[f"x{side}"] * half, m[f"h{side}"] * half * np.float32(0.5)
+        table, w = gates(m[f"x{side}"]) * half, gates(m[f"h{side}"]) * half * np.float32(0.5)
         h[:], c[:] = 0, 0
         for t in range(t_max) if side == "l" else range(t_max - 1, -1, -1):
-            np.take(table, by_time[t], axis=0, out=z, mode="clip")
-            np.matmul(h, w, out=zz)
+            for k in range(4):
+                np.take(table[k], by_time[t], axis=0, out=z[k], mode="clip")
+                np.matmul(h, w[k], out=zz[k])
             z += zz
             _fast_tanh(z, zz)
-            z += one
-            c *= z[:, HIDDEN : 2 * HIDDEN]
-            np.multiply(z[:, :HIDDEN], z[:, 3 * HIDDEN :], out=u)
+            z[:3] += 1
+            c *= z[1]
+            np.multiply(z[0], z[3], out=u)
             c += u
             c *= 0.5
             np.copyto(h, c)
             _fast_tanh(h, u)
-            h *= z[:, 2 * HIDDEN : 3 * HIDDEN]
+            h *= z[2]
             np.matmul(out.T, h.T, out=part)
             e[t] += part
     return e.transpose(0, 2, 1)
