@@ -38,8 +38,13 @@ def _cut(text: Column, n: int) -> Column:
     return step["s"]
 
 
+def _within(text: Column, n: int) -> Column:
+    """At most n UTF-16 units; a character takes two at most."""
+    return (F.length(text) <= n // 2) | (utf16_length(text) <= n)
+
+
 def cap_head(text: Column, n: int) -> Column:
-    return F.when(utf16_length(text) <= n, text).otherwise(F.concat(F.regexp_replace(head_units(text, n), f"[{SPACE}]+\\z", ""), F.lit("…")))
+    return F.when(_within(text, n), text).otherwise(F.concat(F.regexp_replace(head_units(text, n), f"[{SPACE}]+\\z", ""), F.lit("…")))
 
 
 def cap_head_tail(text: Column, n: int) -> Column:
@@ -47,7 +52,7 @@ def cap_head_tail(text: Column, n: int) -> Column:
     head = -(-2 * n // 3)
     left = F.regexp_replace(head_units(text, head), f"[{SPACE}]+\\z", "")
     right = F.regexp_replace(F.right(text, F.lit(n - head)), f"\\A[{SPACE}]+", "")
-    return F.when(utf16_length(text) <= n, text).otherwise(F.concat(left, F.lit(JOIN), right))
+    return F.when(_within(text, n), text).otherwise(F.concat(left, F.lit(JOIN), right))
 
 
 def visible(text: Column) -> Column:

@@ -11,7 +11,7 @@ from turnloom.operators import facts
 from turnloom.operators.structure import SUMMARY_HEADER
 from turnloom.plans.sessions import _ANSWER
 from turnloom.plans.structure import _CALLS, _KEPT, _UNITS
-from turnloom.sources.transcript import WITH_TRANSCRIPT, log, transcript
+from turnloom.sources.transcript import WITH_TRANSCRIPT, log, sessions, transcript
 
 #: Newest units kept, and cost that a summary may have, in these queries.
 KEEP, BUDGET = 2, 60
@@ -21,6 +21,12 @@ def _on(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, sf_dir: f(transcript(spark, sf_dir))
 
 
+def _rows(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Of sessions' rows, whose messages are made where they are read: lines travel once, and nothing is written."""
+    place = lambda x, i: F.struct(i.alias("idx"), *(x[k].alias(k) for k in facts.FIELDS[1:]))
+    return lambda spark, sf_dir: f(sessions(spark, sf_dir).select("session_id", F.transform("messages", place).alias("messages")))
+
+
 def todo_lists(log: DataFrame) -> DataFrame:
     """A todo list made of each session's tagged points, in two spellings, its closure and its size."""
     point = F.concat(F.lit("- ["), F.when(F.col("idx") % 3 == 0, "x").when(F.col("idx") % 3 == 1, " ").otherwise("~"), F.lit("] "), F.regexp_replace("content", r"\.$", ""))
@@ -37,9 +43,9 @@ QUERIES = {
     "x15_said": _on(lambda log: facts.said(log).where("kind <> 'rest' or text <> ''").select("session_id", "idx", "kind", "text")),
     "x16_call_facts": _on(lambda log: facts.call_facts(log).select("session_id", "idx", "key_args", "path", "action", "url", "test")),
     "x09_result_kinds": _on(lambda log: facts.result_facts(log).select("session_id", "idx", "call_idx", "kind", "condensed")),
-    "x20_ledger_items": _on(lambda log: facts.ordered(facts.items(log, KEEP)).select("session_id", "id", "category", "section", "place", "line")),
-    "w12_prefix_cut": _on(lambda log: facts.kept(facts.items(log, KEEP), BUDGET, False).groupBy("session_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.max(F.when(F.col("kept"), F.col("spent"))).alias("spent"))),
-    "x22_summaries": _on(lambda log: facts.summaries(facts.items(log, KEEP), BUDGET, False)),
+    "x20_ledger_items": _rows(lambda rows: facts.ordered(facts.listed(rows, KEEP)).select("session_id", "id", "category", "section", "place", "line")),
+    "w12_prefix_cut": _rows(lambda rows: facts.kept(facts.listed(rows, KEEP), BUDGET, False).groupBy("session_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.max(F.when(F.col("kept"), F.col("spent"))).alias("spent"))),
+    "x22_summaries": _rows(lambda rows: facts.summed_up(rows, KEEP, BUDGET, False)),
     "as_assembled": _on(lambda log: facts.assembled(log, BUDGET, KEEP).select("session_id", "pos", "origin", "role", F.md5("content").alias("digest"))),
     "a29_todo_closure": _on(todo_lists),
     "x21_user_items": lambda spark, sf_dir: facts.user_items(log(spark, sf_dir, "role", "content", role="user")),
