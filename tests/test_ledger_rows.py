@@ -15,7 +15,7 @@ from turnloom.plans.registry import QUERIES
 LOG = "session_id long, idx int, role string, content string, call_id string, call_id2 string, tool_name string, arguments string"
 
 
-@pytest.mark.parametrize("name", ["x22_summaries", "x20_ledger_items", "w12_prefix_cut"])
+@pytest.mark.parametrize("name", ["x22_summaries", "as_assembled", "x20_ledger_items", "w12_prefix_cut"])
 def test_ledger_is_not_dealt_out_or_written(spark, small, monkeypatch, name):
     """Lines and orders travel once; what a summary is made from stays within its session's row, and nothing is written."""
     from turnloom.sources import store

@@ -46,7 +46,7 @@ QUERIES = {
     "x20_ledger_items": _rows(lambda rows: facts.ordered(facts.listed(rows, KEEP)).select("session_id", "id", "category", "section", "place", "line")),
     "w12_prefix_cut": _rows(lambda rows: facts.kept(facts.listed(rows, KEEP), BUDGET, False).groupBy("session_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.max(F.when(F.col("kept"), F.col("spent"))).alias("spent"))),
     "x22_summaries": _rows(lambda rows: facts.summed_up(rows, KEEP, BUDGET, False)),
-    "as_assembled": _on(lambda log: facts.assembled(log, BUDGET, KEEP).select("session_id", "pos", "origin", "role", F.md5("content").alias("digest"))),
+    "as_assembled": _rows(lambda rows: facts.put_together(rows, BUDGET, KEEP).select("session_id", "pos", "origin", "role", F.md5("content").alias("digest"))),
     "a29_todo_closure": _on(todo_lists),
     "x21_user_items": lambda spark, sf_dir: facts.user_items(log(spark, sf_dir, "role", "content", role="user")),
 }
