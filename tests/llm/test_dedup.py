@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from turnloom.llm import dedup, neardup
+from turnloom.llm import common, dedup, neardup
 from turnloom.llm.words import shingle_sets
 
 BLANK = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -76,6 +76,37 @@ def test_drop_copies(spark):
     assert dedup.drop_copies(docs.where("false")).count() == 0 and dedup.exact_groups(docs.where("false")).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for other stages."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 8])
+def test_only_rows_in_question_travel(spark, monkeypatch, tmp_path, bits):
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    rnd = random.Random(8)
+    docs = [(i, " ".join(rnd.randbytes(3).hex() for _ in range(3000))) for i in range(200)]
+    alone = [(None, "of no other"), (6, "another text"), (7, "")]
+    copies = [(None, docs[3][1]), (2000, docs[4][1]), (6, docs[6][1])]
+    longer, empty = (None, docs[5][1] + " "), (None, None)
+    frame(spark, [*docs, *alone, *copies, longer, empty]).write.parquet(f"{tmp_path}/docs")
+    table, threshold = spark.read.parquet(f"{tmp_path}/docs"), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for drop, want in ((dedup.drop_copies, [*docs[:5], *docs[6:], *alone, longer]), (neardup.drop_near, [*docs, *alone, empty])):
+            start = shuffled(spark)
+            out = drop(table).collect()
+            travelled = shuffled(spark) - start
+            assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(want)
+            # with a full bitmap all rows go to the exact join
+            assert bits == 8 or travelled < sum(len(b) for _, b in docs) / 4, (drop, travelled)
+    finally:
+        spark.conf.set(threshold, usual)
+
+
 # ---------------------------------------------------------------- near
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,20 +60,53 @@ def packed(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_task)))
 
 
-def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
-    """Rows whose key may be among at most n wanted keys: a first filter, before rows are shuffled for an exact join.
-
-    The wanted keys set bits of a hash bitmap of 8 to 16 bits a key, and of MOST_BITS at most, which is the bound of what is
-    broadcast (16 MB). A full bitmap lets all rows pass.
-    """
+def _with_bit(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int, how: str) -> tuple[DataFrame, Column]:
+    """Rows joined to their part of the wanted keys' bitmap, and whether their bit is set (null where no key has that part)."""
     bits = min(MOST_BITS, 1 << max(16, (8 * n).bit_length()))
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
     maps = wanted.select(F.bitmap_bucket_number(place(wanted_key)).alias("__bucket"), F.bitmap_bit_position(place(wanted_key)).alias("__bit"))
     maps = maps.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
     bit = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__bucket"))
-    return joined.where(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1).drop("__bucket", "__map")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__bucket"), how)
+    return joined, F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1
+
+
+def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """Rows whose key may be among at most n wanted keys: a first filter, before rows are shuffled for an exact join.
+
+    The wanted keys set bits of a hash bitmap of 8 to 16 bits a key, and of MOST_BITS at most, which is the bound of what is
+    broadcast (16 MB). A full bitmap lets all rows pass.
+    """
+    joined, is_set = _with_bit(rows, key, wanted, wanted_key, n, "inner")
+    return joined.where(is_set).drop("__bucket", "__map")
+
+
+def never_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """The other rows: those that ``maybe_in`` leaves out."""
+    joined, is_set = _with_bit(rows, key, wanted, wanted_key, n, "left")
+    return joined.where(~F.coalesce(is_set, F.lit(False))).drop("__bucket", "__map")
+
+
+def only_kept(docs: DataFrame, key: dict[str, Callable[[Column], Column]], groups: DataFrame) -> DataFrame:
+    """docs with the rows that groups(doc_id, *key, kept) keeps, of several alike one; columns unchanged.
+
+    groups has a row for each row of docs, but for rows that stay anyhow; key gives its columns from the text. Rows whose doc_id
+    has nothing to do with those that go or are repeated pass where they are read; only the others travel, for the exact join.
+    """
+    names = ["doc_id", *key]
+    some = groups.groupBy(*(F.col(c).alias(f"__{c}") for c in names)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
+    some = materialize(some.where("not kept or c > 1").drop("c"), "gone-or-repeated")
+    n, n_repeated = some.agg(F.count(F.lit(1)), F.count_if("kept")).first()
+    # whole rows go as one column, so that no name of theirs meets one of ours
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    sought = (F.col("doc_id"), some, F.col("__doc_id"), n)
+    near = maybe_in(rows, *sought).select("doc_id", *(made(F.col("row.text")).alias(c) for c, made in key.items()), "row")
+    # an outer join and keys that may be null: Spark moves semi and anti joins, and tests for null, below the first filter
+    same = reduce(and_, (near[c].eqNullSafe(some[f"__{c}"]) for c in names))
+    judged = near.join(some, same, "left").select(*(near[c] for c in names), "row", F.coalesce(F.col("kept").cast("int"), F.lit(2)).alias("state"))
+    out = never_in(rows, *sought).select("row.*").union(judged.where("state = 2").select("row.*"))
+    return out.union(judged.where("state = 1").dropDuplicates(names).select("row.*")) if n_repeated else out
 
 
 def word_count(text: Column) -> Column:

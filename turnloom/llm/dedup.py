@@ -21,28 +21,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, read
+from .common import BLANKS, materialize, only_kept, read
 
 KEYS, ROWS = 4096, 8192
 INDEX = "bucket long, n int, sizes array<int>, bits binary, digests binary, winners binary, groups binary"
 _U = np.uint64
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text without its blanks."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256))
+
+
+def text_size(text: Column) -> Column:
+    """Code points of the whole text."""
+    return F.length(F.coalesce(text, F.lit("")))
+
+
 def digest_table(docs: DataFrame) -> DataFrame:
     """rid, doc_id, digest (32 bytes), size (code points of the whole text); written out, so that rid is stable."""
-    text = F.coalesce("text", F.lit(""))
-    return materialize(
-        docs.select(
-            F.monotonically_increasing_id().alias("rid"),
-            "doc_id",
-            F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("digest"),
-            F.length(text).alias("size"),
-        ),
-        "digests",
-    )
+    text = F.col("text")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_digest(text).alias("digest"), text_size(text).alias("size")), "digests")
 
 
 def _positions(words: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -177,18 +179,8 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without all but the winner of each group; columns unchanged."""
-    groups = materialize(exact_groups(docs), "digest-kept")
-    row = ["doc_id", "digest", "size"]
-    repeated = groups.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("size").alias("__s"))
-    text = F.coalesce("text", F.lit(""))
-    # whole rows travel as one column, so that no name of theirs meets one of ours
-    keyed = docs.select("doc_id", F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias("digest"), F.length(text).alias("size"), F.struct("*").alias("row"))
-    same = (keyed["digest"] == kept["__d"]) & (keyed["size"] == kept["__s"]) & keyed["doc_id"].eqNullSafe(kept["__id"])
-    out = keyed.join(kept, same, "left_semi")
-    if repeated:  # rows that repeat both doc_id and text
-        out = out.dropDuplicates(["doc_id", "digest"])
-    return out.select("row.*")
+    groups = materialize(exact_groups(docs).select("doc_id", "digest", "size", "kept"), "digest-kept")
+    return only_kept(docs, {"digest": text_digest, "size": text_size}, groups)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

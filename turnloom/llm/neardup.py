@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, packed, read
+from .common import materialize, maybe_in, only_kept, packed, read
 from .tokens import text_batches
 from .words import shingle_sets
 
@@ -157,7 +157,8 @@ def sets_of(wanted: DataFrame, rows: int, classes: DataFrame, docs: DataFrame, w
     """rid, shingles for the classes wanted(rid), at most so many rows; written out."""
     wanted = materialize(packed(classes.join(wanted.distinct(), "rid").select("rid", "digest", F.col("doc_id").alias("c_doc_id")), rows), "wanted")
     chosen = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), wanted, F.col("c_doc_id"), rows)
-    chosen = chosen.join(wanted.select("c_doc_id").distinct(), chosen["doc_id"].eqNullSafe(F.col("c_doc_id")), "left_semi")
+    # no semi join: Spark would move it below the first filter, and all texts would travel
+    chosen = chosen.join(wanted.select("c_doc_id").distinct(), chosen["doc_id"].eqNullSafe(F.col("c_doc_id"))).drop("c_doc_id")
     return materialize(full_sets(chosen, width).join(wanted, "digest").dropDuplicates(["rid"]).select("rid", "shingles"), "full-sets")
 
 
@@ -377,21 +378,10 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def drop_near(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one row of each component; columns unchanged."""
+    # rows that repeat both doc_id and text are in one component, so a pair stays or goes as a whole; rows without words are in
+    # none, and stay as they are
     groups = materialize(near_groups(docs, width).where("n > 0").select("doc_id", "text_key", "kept"), "near-groups")
-    # rows that repeat both doc_id and text are in one component, so a pair stays or goes as a whole
-    pairs = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
-    pairs = materialize(pairs.where("not kept or c > 1"), "near-pairs")
-    # whole rows travel as one column, so that no name of theirs meets one of ours
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.struct("*").alias("row"))
-
-    def joined(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        return rows.join(some, rows["doc_id"].eqNullSafe(some["__id"]) & (rows["text_key"] == some["__key"]), how)
-
-    out = joined(keyed, pairs.where("not kept"), "left_anti")
-    repeated = pairs.where("kept")
-    if repeated.limit(1).count():
-        out = joined(out, repeated, "left_anti").unionByName(joined(out, repeated, "left_semi").dropDuplicates(["doc_id", "text_key"]))
-    return out.select("row.*")
+    return only_kept(docs, {"text_key": text_key}, groups)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
